@@ -330,7 +330,7 @@ def evidence_probability_fallback(t):
      "source_joint_novelty", "source_one_sided_novelty"],
 )
 def source_count_features(t):
-    rows = support.attach_counts(t.base(), *t.counts())
+    rows = t.counted()
     named = support.source_count_columns(rows)
     keep = ["log_source_drug_count", "log_source_pair_count", "log_source_cluster_pair_count", "source_entity_support_min",
             "source_entity_support_imbalance", "source_cluster_support_min", "source_cluster_support_imbalance",
@@ -389,9 +389,7 @@ def hit_score(t):
     """SELECT query_id, count(*) AS n FROM hits WHERE identity >= 30 AND query_coverage >= 0.5 AND evalue <= 0.001 GROUP BY query_id""",
 )
 def hit_thresholds(t):
-    from residuum.operators.neighbours import scored_hits
-
-    hits = scored_hits(scans.parse_hits(t.hit_lines())).where(C.hit_passes())
+    hits = t.hits().where(C.hit_passes())
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -482,8 +480,7 @@ def component_selection(t):
          SELECT row_id, source_drug_count > 8 AS d, source_target_count > 200 AS t FROM counted)""",
 )
 def support_state_label(t):
-    rows = support.attach_counts(t.base(), *t.counts())
-    return rows.select(
+    return t.counted().select(
         "row_id", C.support_state(F.col("source_drug_count") > 8, F.col("source_target_count") > 200).alias("state")
     )
 

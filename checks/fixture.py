@@ -15,15 +15,26 @@ from pyspark.sql import functions as F
 
 from residuum.functions.columns import base_columns, exported_columns, hex_draw
 from residuum.operators import neighbours, support
-from residuum.sources.scans import vector_store
+from residuum.sources.scans import parse_hits, vector_store
+from residuum.storage import cut
 
 SPLIT_DATE = "1998-06-01"
 UNIT = 268435456.0  # 16 ** 7
 FINGERPRINT_BITS = neighbours.FINGERPRINT_BITS
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """The fixture tables of one scale folder."""
+    """The fixture tables of one scale folder; an audit reads stored tables, so the
+    derived ones are written once per application."""
+
+    def stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = cut(build(), name)
+        return _STORED[key]
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -71,9 +82,19 @@ class Tables:
         )
 
     def base(self) -> DataFrame:
-        return exported_columns(base_columns(self.predictions()))
+        return self.stored("predictions", lambda: exported_columns(base_columns(self.predictions())))
+
+    def counted(self) -> DataFrame:
+        """Predictions with their source counts."""
+        return self.stored("counted", lambda: support.attach_counts(self.base(), *self.counts()))
+
+    def hits(self) -> DataFrame:
+        return self.stored("hits", lambda: neighbours.scored_hits(parse_hits(self.hit_lines())))
 
     def train(self) -> DataFrame:
+        return self.stored("train", self.interactions)
+
+    def interactions(self) -> DataFrame:
         """Source interactions: lines of finished orders, without any outcome."""
         line, orders = self.raw("lineitem"), self.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey")
         part = self.raw("part").select("p_partkey", "p_brand", "p_size")
@@ -113,6 +134,9 @@ class Tables:
         return vector_store(self.raw("embeddings"), "vec_id", "embedding")
 
     def fingerprints(self) -> DataFrame:
+        return self.stored("fingerprints", self.word_bits)
+
+    def word_bits(self) -> DataFrame:
         """Words of whole documents hashed to bit positions."""
         docs = self.raw("documents")
         words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
