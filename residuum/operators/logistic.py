@@ -93,7 +93,7 @@ def solve_spread(
     states = {k: {name: Newton(len(idx), c) for name, idx in fits.items()} for k, fits in problems.items()}
     sums_type = T.StructType(
         [*[rows.schema[k] for k in keys], *T.StructType.fromDDL(
-            "fit string, loss double, gradient array<double>, hessian array<double>").fields]
+            "_name string, loss double, gradient array<double>, hessian array<double>").fields]
     )
     while True:
         open_points = {
@@ -122,7 +122,7 @@ def solve_spread(
                 )
 
         def merge(part: pd.DataFrame) -> pd.DataFrame:
-            key, name = tuple(part[keys].iloc[0]), part["fit"].iloc[0]
+            key, name = tuple(part[keys].iloc[0]), part["_name"].iloc[0]
             g = np.sum(np.stack(part["gradient"].to_numpy()), axis=0)
             h = np.sum(np.stack(part["hessian"].to_numpy()), axis=0)
             state = states[key][name]
@@ -134,12 +134,12 @@ def solve_spread(
 
         next_type = T.StructType(
             [*[rows.schema[k] for k in keys], *T.StructType.fromDDL(
-                "fit string, best double, kept array<double>, move array<double>, scale double, done boolean").fields]
+                "_name string, best double, kept array<double>, move array<double>, scale double, done boolean").fields]
         )
         # one row of coefficients per fit comes back: the size of the grid, not of the data
-        moved = rows.mapInPandas(partial, sums_type).groupBy(*keys, "fit").applyInPandas(merge, next_type)
-        for r in moved.toPandas().itertuples(index=False):
-            state = states[tuple(r[: len(keys)])][r.fit]
+        moved = rows.mapInPandas(partial, sums_type).groupBy(*keys, "_name").applyInPandas(merge, next_type)
+        for r in moved.collect():
+            state = states[tuple(r[k] for k in keys)][r["_name"]]
             state.best, state.scale, state.done = r.best, r.scale, bool(r.done)
             state.kept, state.move, state.steps = np.asarray(r.kept), np.asarray(r.move), state.steps + 1
             state.done = state.done or state.steps >= MAX_STEPS
