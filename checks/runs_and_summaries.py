@@ -533,11 +533,11 @@ def table_equality(t):
     return quality.table_difference(left, right)
 
 
-@check("availability_gates", """SELECT model, dataset, test_run, flag FROM (SELECT model, dataset, test_run, count(*) FILTER (label = 0) > 980 AS many, count(*) FILTER (s_prior > 4) > 2 AS strong FROM base GROUP BY ALL)
+@check("availability_gates", """SELECT model, dataset, test_run, flag FROM (SELECT model, dataset, test_run, count(*) FILTER (label = 0) > 1180 AS many, count(*) FILTER (s_prior > 3.5) > 30 AS strong FROM base GROUP BY ALL)
        UNPIVOT (ok FOR flag IN (many, strong)) WHERE NOT ok""")
 def availability_gates(t):
     rows = t.base().groupBy(*RUN).agg(
-        (F.count_if(F.col("label") == 0) > 980).alias("many"), (F.count_if(F.col("s_prior") > 4) > 2).alias("strong")
+        (F.count_if(F.col("label") == 0) > 1180).alias("many"), (F.count_if(F.col("s_prior") > 3.5) > 30).alias("strong")
     )
     return quality.unavailable_flags(rows, RUN, ["many", "strong"])
 

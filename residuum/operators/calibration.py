@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from residuum.functions.columns import clip, finite, or_null, sigmoid
 from residuum.operators.folds import assign_folds, by_axes
 from residuum.operators.logistic import LOCAL_ROWS, fit_platt, platt_probability
+from residuum.storage import cut
 
 
 def raw_probability(df: DataFrame):
@@ -46,9 +47,10 @@ def cross_fitted_calibration(
     )
     fit_for = rows.join(counts, keys, "left")
     usable = F.col("_y").isNotNull() & F.col("_z").isNotNull() & (F.col("_n") >= 4) & F.col("_both")
-    tagged = assign_folds(fit_for, keys, "_y", folds, seed, strict, usable)
+    # fits, models and rows below all start from these folds
+    tagged = cut(assign_folds(fit_for, keys, "_y", folds, seed, strict, usable), "calibration-folds")
     train = other_folds(tagged.where("fold is not null").select(*keys, "fold", "n_folds", "_y", "_z"))
-    models = fit_platt(train, [*keys, "fit"], "_z", "_y", limit).withColumnRenamed("fit", "fold")
+    models = cut(fit_platt(train, [*keys, "fit"], "_z", "_y", limit).withColumnRenamed("fit", "fold"), "calibrators")
     done = models.select(*keys).distinct().withColumn("_fitted", F.lit(True))
     out = tagged.join(models, [*keys, "fold"], "left").join(done, keys, "left")
     enough = F.coalesce((F.col("_n") >= 4) & F.col("_both"), F.lit(False))

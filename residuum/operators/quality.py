@@ -17,7 +17,9 @@ class ShardError(RuntimeError):
 def key_text(df: DataFrame, name: str) -> Column:
     """Keys compare as text; doubles at twelve significant digits."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.coalesce(F.format_string("%.12g", F.col(name).cast("double")), F.lit(""))
+        text = F.format_string("%.12g", F.col(name).cast("double"))
+        short = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+(?=e|$)", "")).otherwise(text)
+        return F.when(F.col(name).isNotNull(), short).otherwise("")
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
