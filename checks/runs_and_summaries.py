@@ -51,7 +51,7 @@ RUN_CTES = {
     "f_cum": f"""SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(n) OVER k AS tn, sum(pos) OVER k AS tp FROM f_steps
                  WINDOW w AS (PARTITION BY {KEYS_SQL}, profile, fold ORDER BY score DESC), k AS (PARTITION BY {KEYS_SQL}, profile, fold)""",
     "f_ap": f"SELECT {KEYS_SQL}, profile, fold, CASE WHEN any_value(tp) > 0 AND any_value(tp) < any_value(tn) THEN sum(pos * cp / cn) / any_value(tp) END AS auprc FROM f_cum GROUP BY ALL",
-    "f_mean": f"""SELECT {KEYS_SQL}, profile, avg(auprc) AS validation_fold_mean_auprc, CASE WHEN count(auprc) = 1 THEN 0 ELSE stddev_samp(auprc) / sqrt(count(auprc)) END AS validation_fold_se_auprc,
+    "f_mean": f"""SELECT {KEYS_SQL}, profile, round(avg(auprc), 12) AS validation_fold_mean_auprc, round(CASE WHEN count(auprc) = 1 THEN 0 ELSE stddev_samp(auprc) / sqrt(count(auprc)) END, 12) AS validation_fold_se_auprc,
                          count(auprc)::INT AS validation_finite_folds FROM f_ap GROUP BY ALL""",
     "info": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {c}, {str(m).lower()})" for p, (c, m, _) in SCORES.items()) + ") v(profile, complexity, primary_candidate)",
     "cv": f"SELECT o.* EXCLUDE (split), i.complexity, i.primary_candidate, f.* EXCLUDE ({KEYS_SQL}, profile) FROM m_out o JOIN info i USING (profile) LEFT JOIN f_mean f USING ({KEYS_SQL}, profile) WHERE split = 'validation'",

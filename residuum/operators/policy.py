@@ -89,8 +89,9 @@ def defer_riskiest(
     The share is rounded half-even; equal risks go by ``tie``. Only the cut row
     of each group is located, then every row compares itself with it.
     """
+    keys = [*keys, *([] if fraction in keys else [fraction])]
     cuts = kth_row(rows, keys, risk, tie, F.rint(F.col("group_n") * F.col(fraction)))
-    out = rows.join(cuts, list(keys), "left")
+    out = rows.join(cuts, keys, "left")
     ahead = (F.col(risk) > F.col("cut_value")) | (
         (F.col(risk) == F.col("cut_value")) & (F.col(tie) <= F.col("cut_tie"))
     )

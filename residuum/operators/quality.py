@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -117,11 +118,8 @@ def cardinality_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how
 
 
 def reads_no_outcome(df: DataFrame, outcomes: Sequence[str] = ("label", "y", "base_wrong", "base_correct")) -> bool:
-    """True if the optimised plan carries no outcome column at all."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    names = set()
-    leaves = plan.collectLeaves()
-    for i in range(leaves.size()):
-        out = leaves.apply(i).output()
-        names |= {out.apply(j).name().lower() for j in range(out.size())}
-    return not names.intersection(outcomes)
+    """True if no step of the optimised plan above the scans uses an outcome column."""
+    text = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    steps = [line for line in text.splitlines() if not re.search(r"(logicalrdd|relation) *\[", line)]
+    used = set(re.findall(r"([a-z_0-9]+)#\d+", "\n".join(steps))) | {c.lower() for c in df.columns}
+    return not used.intersection(outcomes)

@@ -13,11 +13,16 @@ STRATUM = ["model", "dataset"]
 
 
 def fold_mean_se(folds: DataFrame, keys: Sequence[str], value: str = "auprc") -> DataFrame:
-    """Mean of finite folds and its standard error (zero for one fold)."""
+    """Mean of finite folds and its standard error (zero for one fold).
+
+    Both are cut to twelve digits, so equal profiles stay equal whatever order
+    their folds were added in.
+    """
     n = F.count(value)
+    error = F.when(n == 1, 0.0).otherwise(F.stddev_samp(value) / F.sqrt(n))
     return folds.groupBy(*keys).agg(
-        F.avg(value).alias("validation_fold_mean_auprc"),
-        F.when(n == 1, 0.0).otherwise(F.stddev_samp(value) / F.sqrt(n)).alias("validation_fold_se_auprc"),
+        F.round(F.avg(value), 12).alias("validation_fold_mean_auprc"),
+        F.round(error, 12).alias("validation_fold_se_auprc"),
         n.cast("int").alias("validation_finite_folds"),
     )
 
