@@ -42,8 +42,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A given table over all cores: a lone file is one task however many rows it has."""
+        df, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     def predictions(self) -> DataFrame:
-        line = self.raw("lineitem")
+        line = self.spread("lineitem")
         key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         at = lambda text, start, n: F.conv(F.substring(text, start, n), 16, 10).cast("bigint")
         rows = line.select("*", F.md5(key).alias("h"), F.md5(F.concat(F.lit("x"), key)).alias("g"))
@@ -96,7 +101,7 @@ class Tables:
 
     def interactions(self) -> DataFrame:
         """Source interactions: lines of finished orders, without any outcome."""
-        line, orders = self.raw("lineitem"), self.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey")
+        line, orders = self.spread("lineitem"), self.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey")
         part = self.raw("part").select("p_partkey", "p_brand", "p_size")
         supp = self.raw("supplier").select("s_suppkey", "s_nationkey")
         key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -138,7 +143,7 @@ class Tables:
 
     def word_bits(self) -> DataFrame:
         """Words of whole documents hashed to bit positions."""
-        docs = self.raw("documents")
+        docs = self.spread("documents")
         words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
         bits = F.array_sort(
             F.array_distinct(
@@ -152,7 +157,7 @@ class Tables:
 
     def hit_lines(self) -> DataFrame:
         """One tab-separated alignment hit per line item."""
-        line = self.raw("lineitem")
+        line = self.spread("lineitem")
         n = lambda c: c.cast("bigint").cast("string")
         draw = hex_draw(F.lit("hit"), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"))
         length = 40 + draw % 160
@@ -166,7 +171,7 @@ class Tables:
 
     def sequences(self) -> DataFrame:
         """Parts as entities with a sequence: the letters of whole documents."""
-        docs = self.raw("documents")
+        docs = self.spread("documents")
         return docs.select(
             F.col("doc_id").cast("string").alias("id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence")
         )

@@ -41,9 +41,8 @@ def canonical_id(c: Column | str) -> Column:
     """Trimmed id text; null is '' and integral numbers lose their fraction."""
     text = F.trim(col(c).cast("string"))
     number = text.try_cast("double")
-    integral = (number == F.floor(number)) & (F.abs(number) < 9.0e18)
-    as_integer = F.when(integral, number.cast("decimal(20,0)").cast("string"))
-    return F.coalesce(F.when(number.isNotNull() & integral, as_integer).otherwise(text), F.lit(""))
+    integer = F.when(F.abs(number) < 9.0e18, number.try_cast("bigint"))
+    return F.coalesce(F.when(integer.cast("double") == number, integer.cast("string")), text, F.lit(""))
 
 
 def prefixed_id(c: Column | str, prefix: str = "pr_id=") -> Column:

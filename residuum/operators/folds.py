@@ -84,7 +84,7 @@ def _deal(rows: DataFrame, keys: list[str], label: str, folds: int, seed: int) -
     sizes = sizes.withColumn("_k", F.least(F.lit(int(folds)), F.col("_pos"), F.col("_neg"), F.col("_groups")))
     ready = groups.join(sizes.where(F.col("_k") >= 2).select(*keys, "_k"), keys)
     shuffled = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("group_id")))
-    ready = ready.withColumns({"_h": shuffled, "_hc": F.substring(shuffled, 1, 3)})
+    ready = ready.withColumns({"_h": shuffled, "_hc": F.substring(shuffled, 1, 2)})
     order = [F.col("pos").desc(), F.col("n").desc()]
     dealt = number_rows(
         ready, keys, ["pos", "n", "_hc"], [F.col("_h"), F.col("group_id")],

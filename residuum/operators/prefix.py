@@ -82,7 +82,10 @@ def number_rows(
     cell_order: Sequence[Column] | None = None,
     out: str = "position",
 ) -> DataFrame:
-    """1-based position inside ``keys`` when ``cells`` is a coarse form of ``order``."""
+    """1-based position inside ``keys`` when ``cells`` is a coarse form of ``order``.
+
+    A few hundred cells per group are plenty: they bound both windows.
+    """
     keys, cells = list(keys), list(cells)
     cell_order = list(cell_order or [F.col(c) for c in cells])
     sizes = rows.groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("_n"))

@@ -435,9 +435,8 @@ def score_rows(frames: DataFrame, coefs: DataFrame, keys: Sequence[str]) -> Data
     """Scores of the held rows under every fitted profile."""
     keys = [*keys, "fit"]
     fitted = coefs.where("slope is not null").select(*keys, "profile", "slope", "fill", "intercept")
-    terms = F.col("intercept")
-    for i in range(len(FEATURES)):
-        value = F.coalesce(F.get(F.col("x"), F.lit(i)), F.get(F.col("fill"), F.lit(i)))
-        terms = terms + F.get(F.col("slope"), F.lit(i)) * value
+    filled = F.zip_with("x", "fill", lambda value, fill: F.coalesce(value, fill))
+    products = F.zip_with("slope", filled, lambda slope, value: slope * value)
+    terms = F.aggregate(products, F.col("intercept"), lambda total, term: total + term)
     held = frames.where("role = 'held'").join(fitted, keys)
     return held.select(*keys, "profile", "row_id", "base_wrong", sigmoid(terms).alias("score"))
