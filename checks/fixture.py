@@ -165,7 +165,7 @@ class Tables:
             F.concat(F.lit("pr_id="), F.col("l_suppkey").cast("string")),
             F.concat(F.lit("pr_id="), (F.col("l_partkey") % 500).cast("string")),
             n(F.col("l_quantity") * 2), n(length), F.lit("1"), n(length), F.lit("1"), n(length),
-            F.when(draw % 3 == 0, "0.01").otherwise("1e-05"), n(draw % 1000), n(100 + draw % 90), n(120 + draw % 70),
+            F.when(draw % 3 == 0, "0.01").otherwise("1e-05"), n(draw % 1000), n(101 + draw % 45 * 2), n(121 + draw % 35 * 2),
         ]
         return line.select(F.concat_ws("\t", *fields).alias("value"))
 
@@ -287,7 +287,7 @@ CTES = {
     "hit_raw": f"""
         SELECT 'pr_id=' || l_suppkey AS query, 'pr_id=' || (l_partkey % 500) AS target, l_quantity * 2 AS identity,
                (40 + draw % 160)::DOUBLE AS alignment_length, CASE WHEN draw % 3 = 0 THEN 0.01 ELSE 0.00001 END AS evalue,
-               (draw % 1000)::DOUBLE AS bits, (100 + draw % 90)::DOUBLE AS query_length, (120 + draw % 70)::DOUBLE AS target_length,
+               (draw % 1000)::DOUBLE AS bits, (101 + draw % 45 * 2)::DOUBLE AS query_length, (121 + draw % 35 * 2)::DOUBLE AS target_length,
                CAST(l_suppkey AS VARCHAR) AS query_id, CAST(l_partkey % 500 AS VARCHAR) AS target_id
         FROM (SELECT *, {DRAW("'hit'", 'l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber')} AS draw FROM lineitem)""",
     "hits": """
