@@ -23,6 +23,14 @@ UNIT = 268435456.0  # 16 ** 7
 FINGERPRINT_BITS = neighbours.FINGERPRINT_BITS
 
 
+def line_key():
+    """Text that tells any two lines apart."""
+    return F.concat_ws(
+        "-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.col("l_quantity").cast("bigint").cast("string"), F.col("l_shipdate").cast("date").cast("string"),
+    )
+
+
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -49,7 +57,7 @@ class Tables:
 
     def predictions(self) -> DataFrame:
         line = self.spread("lineitem")
-        key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+        key = line_key()
         at = lambda text, start, n: F.conv(F.substring(text, start, n), 16, 10).cast("bigint")
         rows = line.select("*", F.md5(key).alias("h"), F.md5(F.concat(F.lit("x"), key)).alias("g"))
         rows = rows.select(
@@ -104,7 +112,7 @@ class Tables:
         line, orders = self.spread("lineitem"), self.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey")
         part = self.raw("part").select("p_partkey", "p_brand", "p_size")
         supp = self.raw("supplier").select("s_suppkey", "s_nationkey")
-        key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+        key = line_key()
         rows = line.join(orders, line.l_orderkey == orders.o_orderkey, "left_semi")
         rows = rows.join(part, rows.l_partkey == part.p_partkey).join(supp, rows.l_suppkey == supp.s_suppkey)
         return rows.select(
@@ -184,8 +192,8 @@ DRAW = lambda *parts: HEX("md5(concat_ws('-', " + ", ".join(f"CAST({p} AS VARCHA
 
 CTES = {
     "hashed": f"""
-        SELECT *, md5(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS h,
-               md5('x' || concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS g FROM lineitem""",
+        SELECT *, md5(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT), CAST(l_shipdate AS DATE))) AS h,
+               md5('x' || concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT), CAST(l_shipdate AS DATE))) AS g FROM lineitem""",
     "drawn": f"""
         SELECT *, {HEX('h', 1, 15)} AS row_id, {HEX('h', 16, 7)} / {UNIT} AS u1, {HEX('h', 23, 7)} / {UNIT} AS u2,
                {HEX('g', 1, 7)} / {UNIT} AS u3, (l_quantity - 25.5) / 14.0 AS z,

@@ -7,7 +7,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SAMPLE = [
     "residual_review", "evaluate_ranking", "audit_table_scan", "count_lookups", "cosine_knn_support", "tanimoto_neighbour_list",
-    "grouped_stratified_folds", "one_standard_error_selection", "pair_collapse", "column_permutation", "overlapping_chunk_spans",
+    "grouped_stratified_folds", "policy_coverage", "pair_collapse", "column_permutation", "overlapping_chunk_spans",
 ]
 
 
