@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
+from residuum.llm.quality_rules import BOILERPLATE_RULE, CLOSED_RULE, NAVIGATION_RULE, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,54 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 @query("op1_minhash_near_dedup", NEAR_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), n=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
+LEAK_SQL = f"""
+WITH dw AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+iw AS (SELECT item_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, len(w[1:5]) AS k, g FROM (
+  SELECT item_id, w, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM iw WHERE len(w) > 0)),
+d AS (SELECT DISTINCT doc_id, k, g FROM (
+  SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM dw, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS s FROM d JOIN i USING (k, g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item_shingles, s AS n_shared, s / n AS containment FROM c JOIN n USING (item_id) WHERE 100 * s >= 80 * n
+"""
+
+
+@query("op3_benchmark_decontamination", LEAK_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUALITY_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, text, {WORDS.format('text')} AS w, string_split(text, chr(10)) AS l FROM t),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+  SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g
+  FROM b WHERE len(w) > 8)),
+r AS (SELECT doc_id, sum(step) AS n FROM (
+  SELECT doc_id, least(8, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8)) AS step FROM g WHERE c > 1) GROUP BY 1),
+x AS (SELECT doc_id, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM (
+  SELECT doc_id, unnest(l) AS line FROM b) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+v AS (SELECT doc_id, line, length(s) AS n,
+  length(s) - length(translate(s, '#*$%&|<>', '')) <= length(s) * 0.08
+  AND NOT (upper(s) = s AND lower(s) <> s AND regexp_matches(s, '[^ ]+ [^ ]+ [^ ]+'))
+  AND NOT regexp_matches(lower(s), '{BOILERPLATE_RULE}') AND NOT regexp_matches(s, '{NAVIGATION_RULE}')
+  AND (regexp_matches(s, '{CLOSED_RULE.replace("'", "''")}') OR regexp_matches(s, '^([^ ]+[ ]+){{9}}')) AS ok FROM x),
+s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (NOT ok), 0) / sum(n) AS lost FROM v GROUP BY 1),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 1.0) AS lost FROM b LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT * EXCLUDE (lost), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= 0.5 AS kept FROM m
+"""
+
+
+@query("op8_quality_rules", QUALITY_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
