@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
 from residuum.llm.quality_rules import BOILERPLATE_RULE, CLOSED_RULE, NAVIGATION_RULE, judge
@@ -102,3 +103,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def id_digest(ids: str = "ids"):
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
+@query("op6_bpe_codec")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = encode(docs, vocabulary()).drop("text")
+    return decode(ids, vocabulary()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
