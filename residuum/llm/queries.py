@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residuum.llm import toxicity
 from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
 from residuum.llm.quality_rules import BOILERPLATE_RULE, CLOSED_RULE, NAVIGATION_RULE, judge
+from residuum.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +124,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decode(ids, vocabulary()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+def fold(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(fold(4) != 2)
+    model = toxicity.train(toxicity.labelled_rows(docs, labels, fold(4) != 2))
+    scored = toxicity.score(docs, model).drop("text")
+    scored = cut(scored, "toxicity")
+    limits = toxicity.language_thresholds(scored.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id"))
+    out = scored.join(F.broadcast(limits.limit(1000)), scored["lang"].eqNullSafe(limits["lang"]), "left").drop(limits["lang"])
+    return out.select(
+        "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"), "lang",
+        F.coalesce("threshold", F.lit(toxicity.CUT)).alias("lang_threshold"),
+        (F.col("score") >= F.coalesce("threshold", F.lit(toxicity.CUT))).alias("flagged"),
+    )
