@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import toxicity
+from residuum.llm import pii, toxicity
 from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
@@ -145,3 +145,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("threshold", F.lit(toxicity.CUT)).alias("lang_threshold"),
         (F.col("score") >= F.coalesce("threshold", F.lit(toxicity.CUT))).alias("flagged"),
     )
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, *pii.train(docs))
+    return found.select("doc_id", *pii.counts("base_spans"), F.sha2(pii.digest("base_spans"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
