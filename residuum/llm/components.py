@@ -20,21 +20,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "links"
     )
-    while True:
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    state = _state(links)
+    while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = cut(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                                                          F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.*").where("u != v").distinct()
-        )
-        links = cut(small, "links")
-        after = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if after == state:
+        star = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        links = cut(large.join(low, "u").select(F.explode(star).alias("e")).select("e.*").where("u != v").distinct(), "links")
+        before, state = state, _state(links)
+        if before == state:
             break
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _state(links: DataFrame) -> tuple:
+    """Number and order-free checksum of the links."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -9,10 +9,13 @@ hub with every member), never all pairs. Every edge is confirmed on full sets.
 
 Texts with equal sets are one node. A star may miss a link between two members
 that both fail at the hub; so buckets whose members are in different components
-elect another hub, and what is left after ``ROUNDS`` is tested pair by pair where
-sizes and known distances (the triangle inequality of the Jaccard distance)
-permit a link. The only loss is a pair that shares no band: below ``MISS`` for a
-pair at the threshold.
+elect further hubs (``HUBS`` in each round), and only members that are still outside
+are tested pair by pair, where sizes and known distances (the triangle inequality
+of the Jaccard distance) permit a link. Each such pair is tested in the first band
+that it shares. Before full sets are compared, a few bits of each bin rule out
+pairs that are ``BOUND`` standard deviations below the threshold. Losses are a pair
+that shares no band and a pair ruled out by its bits: each below 1e-5 for a pair
+at the threshold, less above it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.components import components
@@ -33,8 +36,13 @@ from residuum.storage import cut
 BAND_ROWS = 6
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-5
-#: Star rounds before the remaining pairs are listed.
-ROUNDS = 8
+#: Hubs that a bucket elects in each round; a bucket still mixed after the last round lists its remaining pairs.
+HUBS = (1, 4)
+#: Bits kept of each bin for the estimate that rules out pairs, and its one-sided bound in standard deviations.
+PLANES = 4
+BOUND = 4.3
+#: Nodes up to which their ids are sent to every task (16 bytes each); more are joined by a shuffle.
+SENT_IDS = 1_000_000
 #: Members of one hub verified in one slice.
 SLICE = 500
 
@@ -81,29 +89,55 @@ def band_hashes(minima: np.ndarray, bands: int) -> np.ndarray:
     return total
 
 
+def bin_bits(minima: np.ndarray) -> np.ndarray:
+    """The lowest ``PLANES`` bits of each bin, plane by plane, as 64-bit words."""
+    width = -(-len(minima) // 64) * 64
+    bits = np.zeros((PLANES, width), dtype=np.uint8)
+    for p in range(PLANES):
+        bits[p, : len(minima)] = (minima >> np.uint64(p)) & np.uint64(1)
+    return np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+
+
+def may_link(a: str, b: str, n_a: Column, n_b: Column, bins: int, percent: int) -> Column:
+    """Whether the bits of two nodes leave a link possible; small sets fill their bins from few shingles and get a wider bound."""
+    words_ = -(-bins // 64)
+    differing = F.lit(0)
+    for w in range(words_):
+        planes = [F.get(a, F.lit(p * words_ + w)).bitwiseXOR(F.get(b, F.lit(p * words_ + w))) for p in range(PLANES)]
+        union = planes[0]
+        for x in planes[1:]:
+            union = union.bitwiseOR(x)
+        differing = differing + F.bit_count(union)
+    q = percent / 100 + (1 - percent / 100) / (1 << PLANES)
+    samples = F.least(F.lit(bins), n_a, n_b)
+    return differing <= bins * ((1 - q) + BOUND * math.sqrt(q * (1 - q)) / F.sqrt(samples))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int = BAND_ROWS) -> DataFrame:
-    """(id, n_shingles, node, bands) per row; node is a 128-bit name of the set, null without words."""
+    """(id, n_shingles, node, bands, bits) per row; node is a 128-bit name of the set, null without words."""
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table = WordHashes(), borrow_table(bins)
         for batch in batches:
-            sizes, nodes, marks = [], [], []
+            sizes, nodes, marks, bits = [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingle_set(hashes_of(words(text), cache), n)
                 sizes.append(len(s))
                 if not len(s):
-                    nodes.append(None), marks.append(None)
+                    nodes.append(None), marks.append(None), bits.append(None)
                     continue
                 nodes.append(f"{int(s.sum(dtype=np.uint64)):016x}{int(mix(s * np.uint64(3)).sum(dtype=np.uint64)):016x}")
-                marks.append(band_hashes(bin_minima(s, bins, table), bands).view(np.int64))
+                minima = bin_minima(s, bins, table)
+                marks.append(band_hashes(minima, bands).view(np.int64)), bits.append(bin_bits(minima))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()), pa.array(marks, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "node", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()), pa.array(marks, pa.list_(pa.int64())),
+                 pa.array(bits, pa.list_(pa.int64()))],
+                ["id", "n_shingles", "node", "bands", "bits"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, node string, bands array<long>"
+        run, "id long, n_shingles long, node string, bands array<long>, bits array<long>"
     )
 
 
@@ -163,60 +197,63 @@ def near_duplicates(
     marked = cut(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     nodes = cut(
         marked.where("node IS NOT NULL").groupBy("node", "n_shingles")
-        .agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")),
+        .agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")),
         "nodes",
     )
     exploded = nodes.select(
         "node", "n_shingles", "copies", F.coalesce("low", F.lit((1 << 63) - 1)).alias("rank"), F.posexplode("bands").alias("band", "mark")
-    ).select("node", "n_shingles", "copies", "rank", F.xxhash64("band", "mark").alias("bucket"))
+    ).select("node", "n_shingles", "copies", "rank", "band", F.xxhash64("band", "mark").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = cut(exploded.join(shared.select("bucket"), "bucket"), "buckets")
 
     wanted = members.select("node").distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("low").alias(id_col)).distinct()
+    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("low").alias(id_col)).distinct(), "wanted")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
     some = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     known = some.join(ids, id_col, "left_semi").unionByName(some.where(F.col(id_col).isNull()))
-    sets = cut(
-        shingle_sets(known, text_col, n).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets"
-    )
+    sets = cut(shingle_sets(known, text_col, n).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     fits = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * percent
     size = nodes.select("node", "n_shingles")
+    bits = cut(nodes.join(wanted, "node", "left_semi").select("node", "n_shingles", "bands", "bits"), "bits")
+    bins = bands * rows
     tested = _measured(
         spark.createDataFrame([], "hub string, node string, shared long, n_shingles long, hub_size long"), percent
     )
-    open_members, used, rounds = members.withColumn("root", F.col("node")), None, 0
-    total = members.count()
-    while True:
+    open_members, used, roots = members.withColumn("root", F.col("node")), None, None
+    for rounds, many in enumerate(HUBS):
+        choice = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(many))
         hubs = cut(
-            open_members.groupBy("bucket").agg(F.min(F.struct(-F.col("copies"), "rank", "node", "n_shingles", "root")).alias("h"))
+            open_members.groupBy("bucket", choice.alias("choice"))
+            .agg(F.min(F.struct(-F.col("copies"), "rank", "node", "n_shingles", "root")).alias("h"))
             .select("bucket", F.col("h.node").alias("hub"), F.col("h.n_shingles").alias("hub_size"), F.col("h.root").alias("hub_root")),
             "hubs",
         )
-        pairs = open_members.join(hubs, "bucket").where((F.col("hub_root") != F.col("root")) & fits).select("hub", "node").distinct()
-        pairs = cut(_untested(pairs, tested), "pairs")
+        pairs = open_members.join(hubs, "bucket").where((F.col("hub_root") != F.col("root")) & fits)
+        pairs = pairs.select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b"), "hub", "node")
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"), F.min_by("node", "hub").alias("node")).select("hub", "node")
+        pairs = cut(_possible(_untested(pairs, tested) if rounds else pairs, bits, bins, percent), "pairs")
         found = _sized(verify(pairs, sets), size)
         tested = _measured(cut(tested.select(*found.columns).unionByName(found), "tested"), percent)
-        roots = cut(components(_links(tested)), "roots")
+        links = _links(tested)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = cut(components(links), "roots")
         spent = hubs.select("bucket", F.col("hub").alias("node"), F.lit(rounds).alias("round"))
         used = cut(spent if used is None else used.unionByName(spent), "used")
         # a hub has met all members of its bucket; only the others may have untested pairs
         now = (
-            members.join(used, ["bucket", "node"], "left_anti").join(roots, "node", "left")
-            .withColumn("root", F.coalesce("root", "node"))
+            (members if rounds == 0 else open_members.drop("root")).join(used, ["bucket", "node"], "left_anti")
+            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         )
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x != y")
-        mixed = cut(mixed.select("bucket", "m"), "mixed")
-        rounds += 1
-        left = mixed.agg(F.count("*"), F.sum(F.col("m") * F.col("m"))).first()
-        if not left[0]:
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+        open_members = cut(now.join(mixed, "bucket"), "open")
+        if open_members.isEmpty():
             return _result(marked, nodes, roots)
-        open_members = cut(now.join(mixed.select("bucket"), "bucket"), "open")
-        if left[1] <= 4 * total or rounds >= ROUNDS:
-            break
-    rest = _rest(open_members, used, tested, percent)
+    rest = _rest(open_members.join(bits.select("node", "bands", "bits"), "node"), used, tested, bins, percent)
     found = _sized(verify(cut(_untested(rest, tested), "rest"), sets), size)
-    links = _links(tested).unionByName(_links(_measured(found, percent)))
+    links = _links(_measured(found, percent)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return _result(marked, nodes, cut(components(links), "roots"))
 
 
@@ -240,21 +277,32 @@ def _measured(tested: DataFrame, percent: int) -> DataFrame:
     return tested.withColumns({"linked": F.col("shared") * 100 >= union * percent, "far": 1 - F.col("shared") / union})
 
 
-def _rest(open_members: DataFrame, used: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs of one bucket and of two components that may still be links.
+def _possible(pairs: DataFrame, bits: DataFrame, bins: int, percent: int) -> DataFrame:
+    """The pairs whose bits leave a link possible."""
+    hubs = bits.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("bits").alias("hub_bits"))
+    both = pairs.join(bits, "node").join(hubs, "hub")
+    return both.where(may_link("bits", "hub_bits", F.col("n_shingles"), F.col("hub_size"), bins, percent)).select("hub", "node")
+
+
+def _rest(open_members: DataFrame, used: DataFrame, tested: DataFrame, bins: int, percent: int) -> DataFrame:
+    """Pairs of one bucket and of two components, neither of them a hub there, that may still be links.
 
-    Members that were hubs have met everyone. For the others the distances to
-    the bucket's first hub must differ by no more than a link's distance.
+    The distances to the bucket's first hub, where measured, must differ by no
+    more than a link's distance; the bits must permit a link. All this is
+    part of the join, so only such pairs leave it, each in its first common band.
     """
     first = used.groupBy("bucket").agg(F.min_by("node", "round").alias("hub"))
     far = tested.select("hub", "node", "far").unionByName(tested.select(F.col("node").alias("hub"), F.col("hub").alias("node"), "far"))
-    side = open_members.join(first, "bucket").join(far, ["hub", "node"], "left").select("bucket", "node", "root", "n_shingles", "far")
-    other = side.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n_shingles", "far")])
+    columns = ("node", "root", "n_shingles", "far", "bands", "bits")
+    side = cut(open_members.join(first, "bucket").join(far, ["hub", "node"], "left").select("bucket", "band", *columns), "side")
+    other = side.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
     near = F.coalesce(F.abs(F.col("far") - F.col("far_b")) * 100 <= 100 - percent + 1e-6, F.lit(True))
     fits = F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent
-    return side.join(other, "bucket").where((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits & near).select(
-        F.col("node").alias("hub"), F.col("node_b").alias("node")
-    ).distinct()
+    possible = may_link("bits", "bits_b", F.col("n_shingles"), F.col("n_shingles_b"), bins, percent)
+    common = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+    return side.join(
+        other, (side["bucket"] == other["bucket"]) & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits & near & possible & common
+    ).select(F.col("node").alias("hub"), F.col("node_b").alias("node"))
 
 
 def _result(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
