@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import pii, toxicity
+from residuum.llm import pii, secrets, toxicity, url_filter
 from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
@@ -152,3 +152,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.find(docs, *pii.train(docs))
     return found.select("doc_id", *pii.counts("base_spans"), F.sha2(pii.digest("base_spans"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
+RULES = [
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+]
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    rule = url_filter.match(*url_filter.parts(F.col("url")), RULES)
+    blocked = [r.name for r in RULES if r.verdict == "block"]
+    labelled = pages.withColumn("rule", rule).where("rule IS NOT NULL").select("url", F.col("rule").isin(blocked).cast("double").alias("y"))
+    return url_filter.judge(pages, RULES, url_filter.train(labelled)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    words = secrets.dictionary(docs)
+    found = secrets.scan(docs, secrets.train(docs, words), words)
+    return found.select("doc_id", F.explode("findings").alias("f")).select(
+        "doc_id", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"), F.sha2("f.value", 256).alias("value_sha256"), "f.score", "f.secret")
