@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import pii, secrets, toxicity, url_filter
+from residuum.llm import language_model, pii, secrets, toxicity, url_filter
 from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
@@ -176,3 +176,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(docs, secrets.train(docs, words), words)
     return found.select("doc_id", F.explode("findings").alias("f")).select(
         "doc_id", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"), F.sha2("f.value", 256).alias("value_sha256"), "f.score", "f.secret")
+
+
+@query("op5_lm_score")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return language_model.score(docs, fold(5) != 1).withColumnRenamed("id", "doc_id")
