@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import language_model, pii, secrets, toxicity, url_filter
+from residuum.llm import html_text, language_model, pii, secrets, toxicity, url_filter
 from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
@@ -182,3 +182,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return language_model.score(docs, fold(5) != 1).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
