@@ -57,8 +57,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-#: Blocks that stand directly in an article are its text, however many near copies of it the host has.
-_OWN = re.compile(r">(?:article|main)[^>]*>(?:p|h[1-6])[^>]*$")
+#: Headings, paragraphs, lists and tables of the article itself are its text, however many near copies of it the host has.
+_OWN = re.compile(r">(?:article|main)[^>]*(?:>(?:p|h[1-6]|[uod]l|li|dt|dd|table|tbody|thead|tr|td|th|blockquote|pre|figure|figcaption)[^>]*)+$")
 _NOISE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NOISE_WORDS) + r")(?:$|[\s_-])")
 
 

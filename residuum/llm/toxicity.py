@@ -121,7 +121,7 @@ def raw_score(tokens: list[bytes], seen: Projected) -> float:
     if seen.used > TASK_WORDS:
         seen.reset()
     m, pad = seen.model, len(WIDTHS) - 1
-    rows = np.zeros(len(tokens) + pad, np.int64)
+    rows = np.zeros(max(len(tokens), 1) + pad, np.int64)
     rows[: len(tokens)] = np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
     seen.settle()
     n, total, place = max(len(tokens), 1), m.offset, 0
