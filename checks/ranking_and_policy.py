@@ -144,6 +144,19 @@ def evaluate_ranking(t):
     return ranking.evaluate_ranking(rows, GRID, [0.05, 0.1, 0.2, 0.3])
 
 
+@check(
+    "evaluate_ranking_without_broken_scores",
+    "SELECT * FROM m_out",
+    [*METRIC_DOUBLES, *GRID_DOUBLES],
+    {**METRIC_CTES("SELECT *, CASE WHEN row_id % 7 <> 0 THEN round(abs(p_base - p_prior), 2) END AS score FROM states", GRID_SQL), **BUDGETS(0.05, 0.2)},
+)
+def evaluate_ranking_without_broken_scores(t):
+    """NaN and infinite scores count like missing ones."""
+    broken = F.when(F.col("row_id") % 14 == 0, F.lit(float("nan"))).when(F.col("row_id") % 7 == 0, F.lit(float("inf")))
+    rows = states(t).withColumn("score", F.coalesce(broken, F.round(F.abs(F.col("p_base") - F.col("p_prior")), 2)))
+    return ranking.evaluate_ranking(rows, GRID, [0.05, 0.2])
+
+
 @check(
     "oracle_headroom",
     """SELECT model, dataset, test_run, split, reviewed_n, least(reviewed_n, universe_error_count) AS oracle_review_error_count,
@@ -236,7 +249,7 @@ def class_weights(t):
     """WITH g AS (SELECT i, 0.05::DOUBLE + 0.005::DOUBLE * i AS th FROM range(0, 181) r(i)),
             c AS (SELECT model, dataset, test_run, i, count(*) FILTER (p >= th AND label = 1) AS tp, count(*) FILTER (p >= th AND label = 0) AS fp,
                          count(*) FILTER (p < th AND label = 1) AS fn, count(*) FILTER (p < th AND label = 0) AS tn
-                  FROM (SELECT *, round(p_prior, 4) AS p FROM base WHERE label IS NOT NULL AND p_prior IS NOT NULL), g GROUP BY ALL),
+                  FROM (SELECT *, round(p_prior, 4) + 1e-12 AS p FROM base WHERE label IS NOT NULL AND p_prior IS NOT NULL), g GROUP BY ALL),
             m AS (SELECT *, round(coalesce((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 12) AS mcc FROM c)
        SELECT model, dataset, test_run, round(0.05 + 0.005 * i, 3) AS threshold, mcc FROM m
        QUALIFY row_number() OVER (PARTITION BY model, dataset, test_run ORDER BY mcc DESC, i) = 1""",
@@ -265,7 +278,10 @@ def youden_threshold(t):
 
 @check(
     "rate_f1_threshold",
-    RATES + """, f AS (SELECT *, round(2 * (tpr / (tpr + fpr)) * tpr / (tpr + tpr / (tpr + fpr) + 0.00001), 12) AS f1 FROM w WHERE i > 4)
+    RATES + """, c AS (SELECT *, lead(pos) OVER o AS np, lead(n) OVER o AS nn FROM w WINDOW o AS (PARTITION BY model, dataset, test_run ORDER BY s DESC)),
+        q AS (SELECT *, row_number() OVER (PARTITION BY model, dataset, test_run ORDER BY s DESC) AS j FROM c
+              WHERE i = 1 OR np IS NULL OR np <> pos OR nn <> n),
+        f AS (SELECT *, round(2 * (tpr / (tpr + fpr)) * tpr / (tpr + tpr / (tpr + fpr) + 0.00001), 12) AS f1 FROM q WHERE j > 4)
         SELECT model, dataset, test_run, s AS threshold, f1 FROM f
         QUALIFY row_number() OVER (PARTITION BY model, dataset, test_run ORDER BY f1 DESC, s DESC) = 1""",
     ["threshold", "f1"],

@@ -181,7 +181,7 @@ def fit_platt(
     fits = small.groupBy(*keys).applyInPandas(fit, out_type)
     if large is None:
         return fits
-    spread = large.select(*keys, F.array("v").alias("x"), "y", F.lit(1.0).alias("w"))
+    spread = cut(large.select(*keys, F.array("v").alias("x"), "y", F.lit(1.0).alias("w")), "platt-rows")
     classes = large.groupBy(*keys).agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("n"))
     sizes = {tuple(r[k] for k in keys): r.n for r in classes.where("lo < hi").collect()}
     solved = solve_spread(spread, keys, {k: {"platt": [0]} for k in sizes}, c)

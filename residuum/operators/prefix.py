@@ -30,6 +30,12 @@ def magnitude_cell(value: Column) -> Column:
     )
 
 
+def is_finite(value: Column) -> Column:
+    """Whether a number is neither null nor NaN nor infinite."""
+    number = value.cast("double")
+    return F.coalesce(~F.isnan(number) & (F.abs(number) < float("inf")), F.lit(False))
+
+
 def _before(keys: Sequence[str], order: Sequence[Column]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -40,10 +46,12 @@ def prefix_sums(
     value: str,
     sums: dict[str, Column],
     descending: bool = True,
+    following: bool = False,
 ) -> DataFrame:
     """One row per (keys, value) with sums, running sums (cum_*) and totals (total_*).
 
-    Equal values are merged before any shuffle of the ordered data.
+    Equal values are merged before any shuffle of the ordered data. ``following``
+    adds the sums of the next value (next_*), null at the last one.
     """
     keys, names = list(keys), list(sums)
     distinct = (
@@ -53,13 +61,18 @@ def prefix_sums(
     )
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before, whole = _before(keys, [turn("_cell")]), Window.partitionBy(*keys)
-    cells = distinct.groupBy(*keys, "_cell").agg(*[F.sum(n).alias(f"_sum_{n}") for n in names])
+    first = F.max_by if descending else F.min_by
+    heads = [first(n, value).alias(f"_head_{n}") for n in names] if following else []
+    cells = distinct.groupBy(*keys, "_cell").agg(*[F.sum(n).alias(f"_sum_{n}") for n in names], *heads)
+    in_order = Window.partitionBy(*keys).orderBy(turn("_cell"))
     cells = cells.select(
         *keys,
         "_cell",
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in names],
         *[F.sum(f"_sum_{n}").over(whole).alias(f"total_{n}") for n in names],
+        *[F.lead(f"_head_{n}").over(in_order).alias(f"_head_{n}") for n in names if following],
     )
+    neighbours = Window.partitionBy(*keys, "_cell").orderBy(turn(value))
     inside = (
         Window.partitionBy(*keys, "_cell")
         .orderBy(turn(value))
@@ -71,6 +84,7 @@ def prefix_sums(
         *names,
         *[(F.sum(n).over(inside) + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in names],
         *[f"total_{n}" for n in names],
+        *[F.coalesce(F.lead(n).over(neighbours), F.col(f"_head_{n}")).alias(f"next_{n}") for n in names if following],
     )
 
 
@@ -144,10 +158,10 @@ def kth_row(
 
 
 def medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Exact median per group (mean of the two middle values), null values skipped."""
+    """Exact median per group (mean of the two middle values); null, NaN and infinite values are skipped."""
     keys = list(keys)
     steps = prefix_sums(
-        rows.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, descending=False
+        rows.where(is_finite(F.col(value))), keys, value, {"n": F.lit(1)}, descending=False
     )
     low = F.floor((F.col("total_n") + 1) / 2)
     high = F.floor((F.col("total_n") + 2) / 2)

@@ -385,6 +385,8 @@ def _fit_large(rows, keys, profiles, seed, min_feature_n, ranking_weight, max_pa
         key = tuple(part[keys].iloc[0])
         n_up, n_down = counts[key]
         wanted = min(int(max_pairs), n_up * n_down)
+        if not wanted:  # one class only: no pair and no fit
+            return pd.DataFrame([], columns=out_pairs.names)
         sides = {}
         for y, n, name in ((1.0, n_up, "up"), (0.0, n_down, "down")):
             side = part[part["y"] == y]

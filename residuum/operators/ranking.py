@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.operators.prefix import prefix_sums
+from residuum.operators.prefix import is_finite, prefix_sums
 
 METRICS = [
     "error_detection_auroc",
@@ -24,14 +24,17 @@ UNIVERSE_COLUMNS = ["universe_n", "universe_error_count", "universe_error_rate"]
 
 
 def ranked_thresholds(
-    rows: DataFrame, keys: Sequence[str], score: str, label: str, strange: bool = False
+    rows: DataFrame, keys: Sequence[str], score: str, label: str, strange: bool = False, following: bool = False
 ) -> DataFrame:
-    """Distinct scores, best first, with counts n and positives pos (also cum_, total_)."""
-    valid = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    """Distinct scores, best first, with counts n and positives pos (also cum_, total_, next_ if ``following``).
+
+    Rows whose score or label is null, NaN or infinite are left out.
+    """
+    valid = rows.where(is_finite(F.col(score)) & is_finite(F.col(label)))
     sums = {"n": F.lit(1), "pos": F.col(label).cast("double")}
     if strange:
         sums["odd"] = (~F.col(label).isin(0.0, 1.0)).cast("int")
-    return prefix_sums(valid, keys, score, sums)
+    return prefix_sums(valid, keys, score, sums, following=following)
 
 
 def auc_terms() -> tuple[Column, Column]:
@@ -272,9 +275,9 @@ def mcc_threshold(rows: DataFrame, keys: Sequence[str], probability: str, label:
     )
 
 
-def rate_steps(rows: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+def rate_steps(rows: DataFrame, keys: Sequence[str], score: str, label: str, following: bool = False) -> DataFrame:
     """True and false positive rate at every distinct score."""
-    steps = ranked_thresholds(rows, keys, score, label)
+    steps = ranked_thresholds(rows, keys, score, label, following=following)
     return steps.withColumns(
         {
             "tpr": F.try_divide(F.col("cum_pos"), F.col("total_pos")),
@@ -300,13 +303,17 @@ def youden_threshold(rows: DataFrame, keys: Sequence[str], score: str, label: st
 def f1_threshold(rows: DataFrame, keys: Sequence[str], score: str, label: str, skip: int = 5) -> DataFrame:
     """Score with the best F1 built from rates, leaving out the first thresholds.
 
-    The curve starts with one threshold above every score, so ``skip - 1``
-    distinct scores are passed over.
+    The curve keeps its ends and its corners: a score between two steps of equal
+    size and mix is dropped. It starts with one threshold above every score, so
+    the first ``skip - 1`` kept scores are passed over.
     """
     keys = list(keys)
     precision = F.try_divide(F.col("tpr"), F.col("tpr") + F.col("fpr"))
     f1 = F.round(2.0 * precision * F.col("tpr") / (F.col("tpr") + precision + 0.00001), 12)
-    steps = rate_steps(rows, keys, score, label).withColumn("f1", f1)
+    steps = rate_steps(rows, keys, score, label, following=True)
+    ends = (F.col("cum_n") == F.col("n")) | (F.col("cum_n") == F.col("total_n"))
+    corner = (F.col("next_pos") != F.col("pos")) | (F.col("next_n") != F.col("n"))
+    steps = steps.where(ends | corner).withColumn("f1", f1)
     # only the first scores of a group survive the partial limit of this window
     head = Window.partitionBy(*keys).orderBy(F.col(score).desc())
     cut = (

@@ -46,16 +46,28 @@ def prediction_table(raw: DataFrame) -> DataFrame:
     return base_columns(raw.withColumn("test_run", run_name(F.col("test_run"))))
 
 
+def line_order() -> Column:
+    """Place of a row inside its file: grows with the line and is unique in the file.
+
+    A block starts at a byte, and no block has more lines than bytes.
+    """
+    return (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")
+
+
 def read_predictions(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> DataFrame:
     """All prediction files below ``root/model/dataset/run/`` as one table.
 
-    Run keys come from the file path; ``row_id`` is the line order inside a file
-    and must be given as a column where files are split across tasks.
+    Run keys come from the file path. A file's ``split`` names the source split and
+    ``phase`` the part of the run: ``split`` of the table is the phase where there is
+    one, the file's own is kept as ``source_split``. ``row_id`` is unique in its run
+    and phase as long as each has one file, and grows with the line.
     """
     raw = spark.read.schema(AUDIT_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
     at = lambda i: F.element_at(parts, i)
-    tagged = raw.select("*", at(-4).alias("model"), at(-3).alias("dataset"), at(-2).alias("test_run"))
+    tagged = raw.select(
+        "*", at(-4).alias("model"), at(-3).alias("dataset"), at(-2).alias("test_run"), line_order().alias("row_id")
+    ).withColumns({"source_split": F.col("split"), "split": F.coalesce("phase", "split")})
     return prediction_table(tagged.withColumn("model", display_name(F.col("model"), names or {})))
 
 
@@ -67,19 +79,23 @@ def source_interactions(train: DataFrame) -> DataFrame:
 def read_related_splits(spark: SparkSession, folder: str, train_file: str) -> DataFrame:
     """Every ``*_with_id.csv`` below a folder, train first, then by name (``file_order``).
 
-    Unreadable lines turn to nulls; row_id is the line number in name order.
+    Each file is read with its own header, in any column order; a column that a file
+    lacks is null there, and a file without any source column gives no rows. ``row_id`` is
+    the place in the file, so (file_order, row_id) is the order of all lines.
     """
-    raw = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*_with_id.csv")
-        .csv(folder, enforceSchema=False)
-    )
-    name = F.col("_metadata.file_name")
-    present = [c for c in SOURCE_COLUMNS if c in raw.columns]
-    return raw.select(
-        *present,
-        F.when(name == train_file, F.lit("")).otherwise(name).alias("file_order"),
-        F.monotonically_increasing_id().alias("row_id"),
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_with_id.csv").option("recursiveFileLookup", True).load(folder)
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS], T.StructField("file_order", T.StringType()), T.StructField("row_id", T.LongType())])
+    out = spark.createDataFrame([], schema)
+    for path in sorted(r.path for r in files.select("path").collect()):  # the split files of one dataset
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        if not set(SOURCE_COLUMNS) & set(raw.columns):
+            continue
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        out = out.unionByName(raw.select(
+            *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in SOURCE_COLUMNS],
+            F.when(name == train_file, F.lit("")).otherwise(name).alias("file_order"), line_order().alias("row_id"),
+        ))
+    return out
 
 
 def phase_union(frames: dict[str, DataFrame], column: str = "phase") -> DataFrame:

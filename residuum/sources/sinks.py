@@ -25,11 +25,12 @@ def rounded(df: DataFrame, precision: int) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, precision: int = 6, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> None:
+    """Write rounded rows; with ``partition_by`` an overwrite replaces only the partitions that ``df`` has."""
     writer = rounded(df, precision).write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.save(path)
 
 

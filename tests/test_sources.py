@@ -6,16 +6,50 @@ from residuum.sources import scans, sinks
 
 
 def test_prediction_files_carry_their_run_keys(spark, tmp_path):
-    folder = tmp_path / "old_pace_runs" / "human" / "seed_4"
+    folder = tmp_path / "first_model_runs" / "set_b" / "seed_4"
     folder.mkdir(parents=True)
     header = [f.split()[0] for f in scans.AUDIT_SCHEMA.split(", ")]
     row = {h: "" for h in header} | {"dr_id": "7", "pr_id": "3", "label": "1", "s_base": "2.0", "p_base": "nan"}
     (folder / "rows.csv").write_text(",".join(header) + "\n" + ",".join(row[h] for h in header) + "\n")
-    got = scans.read_predictions(spark, str(tmp_path), {"pace": "First"}).first()
-    assert (got.model, got.dataset, got.test_run) == ("First", "human", "seed_4")
+    got = scans.read_predictions(spark, str(tmp_path), {"first_model": "First"}).first()
+    assert (got.model, got.dataset, got.test_run) == ("First", "set_b", "seed_4")
     assert got.label == 1.0 and got.p_base is None
 
 
+def test_prediction_files_give_split_and_row_id(spark, tmp_path):
+    folder = tmp_path / "m" / "d" / "seed_1"
+    folder.mkdir(parents=True)
+    header = [f.split()[0] for f in scans.AUDIT_SCHEMA.split(", ")]
+    lines = [",".join({"split": "source_a", "phase": "test", "dr_id": str(i)}.get(h, "") for h in header) for i in range(50)]
+    (folder / "rows.csv").write_text("\n".join([",".join(header), *lines]) + "\n")
+    rows = scans.read_predictions(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r.dr_id for r in rows] == [str(i) for i in range(50)] and len({r.row_id for r in rows}) == 50
+    assert {(r.split, r.source_split) for r in rows} == {("test", "source_a")}
+
+
+def test_related_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "b_with_id.csv").write_text("drug_cluster,pr_id,dr_id\n7,20,2\n6,21,3\n")
+    (tmp_path / "c_with_id.csv").write_text("nothing,of use\n1,2\n")
+    (tmp_path / "train_with_id.csv").write_text("dr_id,pr_id,target_cluster\n1,10,5\n")
+    rows = scans.read_related_splits(spark, str(tmp_path), "train_with_id.csv").orderBy("file_order", "row_id").collect()
+    assert [(r.dr_id, r.pr_id, r.drug_cluster, r.target_cluster) for r in rows] == [("1", "10", None, "5"), ("2", "20", "7", None), ("3", "21", "6", None)]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from residuum import storage
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session)
+
+
 def test_related_files_come_train_first(spark, tmp_path):
     (tmp_path / "a_with_id.csv").write_text("dr_id,pr_id,drug_cluster,Y\n1,10,9,1\n")
     (tmp_path / "train_with_id.csv").write_text("dr_id,pr_id,drug_cluster,Y\n1,10,8,1\n")
@@ -48,6 +82,9 @@ def test_rounded_sink_and_resume(spark, tmp_path):
     sinks.write_table(df, str(tmp_path / "t"), 3, partition_by=["k"])
     back = spark.read.parquet(str(tmp_path / "t"))
     assert {(r.k, r.v) for r in back.collect()} == {("a", 0.123), ("b", 2.5)}
+    sinks.write_table(df.where("k = 'b'").withColumn("v", F.lit(9.0)), str(tmp_path / "t"), 3, partition_by=["k"])
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {(r.k, r.v) for r in back.collect()} == {("a", 0.123), ("b", 9.0)}
     wanted = spark.createDataFrame([("a",), ("c",)], "k string")
     assert [r.k for r in sinks.missing_runs(wanted, back, ["k"]).collect()] == ["c"]
 
