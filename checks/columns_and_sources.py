@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
@@ -9,6 +11,7 @@ from residuum.functions import columns as C
 from residuum.operators import profiles, registry, support
 from residuum.operators.policy import candidates, table_flags
 from residuum.sources import scans, sinks
+from residuum.storage import shared_folder
 
 RUN = ["model", "dataset", "test_run"]
 RUN_SQL = "model, dataset, test_run"
@@ -26,6 +29,53 @@ def audit_table_scan(t):
     )
 
 
+@check(
+    "prediction_file_scan",
+    """SELECT model, dataset, test_run, split, dr_id, pr_id, label, p_base, s_prior, base_wrong, count(*) AS n FROM base GROUP BY ALL""",
+    ["label", "p_base", "s_prior", "base_wrong"],
+)
+def prediction_file_scan(t):
+    """All predictions written as files of runs and read again from their paths."""
+    path = f"{shared_folder(t.spark)}/prediction-files-{uuid.uuid4().hex}"
+    names = [part.split() for part in scans.AUDIT_SCHEMA.split(", ")]
+    rows = t.base().withColumns({"phase": F.col("split"), "split": F.lit("source")})
+    filled = [F.col(n).cast(kind).alias(n) if n in rows.columns else F.lit(None).cast(kind).alias(n) for n, kind in names]
+    rows.select(*RUN, *filled).write.partitionBy(*RUN).option("header", True).csv(path)
+    return scans.read_predictions(t.spark, path).groupBy(
+        *RUN, "split", "dr_id", "pr_id", "label", "p_base", "s_prior", "base_wrong").agg(F.count("*").alias("n"))
+
+
+@check(
+    "related_split_files",
+    """SELECT dr_id, pr_id, nullif(drug_cluster, '') AS drug_cluster, target_cluster, '' AS file_order, count(*) AS n FROM train GROUP BY ALL
+       UNION ALL SELECT dr_id, pr_id, NULL, NULL, 'later_with_id.csv', count(*) FROM train GROUP BY ALL""",
+)
+def related_split_files(t):
+    """Source rows as two files whose headers differ, read each by its own."""
+    folder = f"{shared_folder(t.spark)}/split-files-{uuid.uuid4().hex}"
+    rows = t.train()
+    for name, columns in (("train", ["dr_id", "pr_id", "drug_cluster", "target_cluster"]), ("later", ["pr_id", "dr_id"])):
+        rows.select(*columns).write.option("header", True).csv(f"{folder}/{name}_with_id.csv")
+    order = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
+    parts = [scans.read_split_file(t.spark, f"{folder}/{name}_with_id.csv", F.when(order == "train_with_id.csv", "").otherwise(order)) for name in ("train", "later")]
+    read = parts[0].unionByName(parts[1])
+    return read.groupBy("dr_id", "pr_id", "drug_cluster", "target_cluster", "file_order").agg(F.count("*").alias("n"))
+
+
+@check(
+    "resume_missing_runs",
+    """SELECT model, dataset, test_run, count(*) AS n, count(label) AS labelled FROM base GROUP BY ALL""",
+)
+def resume_missing_runs(t):
+    """Half of the runs are stored, the missing ones are found and added; the stored ones stay."""
+    path = f"{shared_folder(t.spark)}/runs-{uuid.uuid4().hex}"
+    rows = t.base().select(*RUN, "row_id", "label")
+    sinks.write_table(rows.where("dataset = 'F'"), path, partition_by=RUN)
+    missing = sinks.missing_runs(rows, t.spark.read.parquet(path), RUN)
+    sinks.write_table(rows.join(missing, RUN, "left_semi"), path, partition_by=RUN)
+    return t.spark.read.parquet(path).groupBy(*RUN).agg(F.count("*").alias("n"), F.count("label").alias("labelled"))
+
+
 @check(
     "label_free_source_scan",
     """SELECT dr_id, pr_id, drug_cluster, target_cluster, count(*) AS n FROM train GROUP BY ALL""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from residuum.functions import columns as C
-from residuum.operators import calibration, folds, policy, prefix, ranking, registry
+from residuum.operators import calibration, dedup, folds, policy, prefix, ranking, registry
 from residuum.operators.logistic import fit_platt
 from residuum.storage import cut
 
@@ -297,8 +297,7 @@ def rate_f1_threshold(t):
     ["support_score", "bits"],
 )
 def keep_first_dedupe(t):
-    best = F.max(F.struct("support_score", "bits")).alias("b")
-    return t.hits().groupBy("query_id", "target_id").agg(best).select("query_id", "target_id", "b.*")
+    return dedup.keep_first(t.hits(), ["query_id", "target_id"], ["support_score", "bits"])
 
 
 @check(

@@ -14,6 +14,16 @@ def with_pair_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"pair_a": canonical_id("dr_id"), "pair_b": canonical_id("pr_id")})
 
 
+def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+    """One row per ``keys``: the first when ``order`` goes down, then ``columns`` for ties.
+
+    A maximum with map-side merging, so a hot key is not sorted in one task.
+    """
+    names = [*order, *columns]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*names)).alias("_best"))
+    return best.select(*keys, *[F.col("_best")[c].alias(c) for c in names])
+
+
 def drop_overlap(test: DataFrame, validation: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Test rows whose pair never occurs in validation."""
     seen = with_pair_key(validation).select(*keys, "pair_a", "pair_b").distinct()

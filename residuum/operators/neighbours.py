@@ -100,9 +100,15 @@ def nearest_neighbours(
     """The k nearest source rows of each query: id, neighbour, distance, rank.
 
     Both frames carry ``id`` and ``vec``; the source also ``ord`` (bigint), the
-    tie order. Distances are exact; a source entity finds itself.
+    tie order. Distances are exact; a source entity finds itself. Fingerprints are
+    as wide as the largest position in either frame asks for.
     """
-    measure = Metric(metric)
+    bits = FINGERPRINT_BITS
+    if metric == "tanimoto":
+        top = F.max(F.array_max("vec")).alias("top")
+        widest = queries.agg(top).unionByName(source.agg(top)).agg(F.max("top")).first()[0]
+        bits = max(bits, int(widest if widest is not None else -1) + 1)
+    measure = Metric(metric, bits)
     vec = _vector_type(measure)
     # of equal vectors only the first k can ever be neighbours
     same = Window.partitionBy("vec").orderBy("ord")
@@ -111,6 +117,8 @@ def nearest_neighbours(
     queries = queries.select("id", F.col("vec").cast(vec).alias("vec"))
 
     n = source.count()
+    # a very large source gets larger pieces, so that the index of the pieces stays small
+    block_rows = max(block_rows, math.ceil(2 * n / MAX_PIECES))
     wanted = max(1, math.ceil(n / block_rows))
     pivots = (
         source.orderBy(F.md5(F.col("id").cast("string")), "id").limit(min(wanted, MAX_PIVOTS)).select("vec").collect()
@@ -137,9 +145,7 @@ def nearest_neighbours(
         "knn-pieces",
     )
     pieces = placed.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
-    stats = pieces.limit(MAX_PIECES + 1).toPandas()
-    if len(stats) > MAX_PIECES:
-        raise ValueError("raise block_rows: the piece index of the source would not fit")
+    stats = pieces.toPandas()  # at most MAX_PIECES / 2 full pieces and one more for each pivot
     cells, subs = stats["cell"].to_numpy(), stats["sub"].to_numpy()
     counts, radii = stats["n"].to_numpy(), stats["radius"].to_numpy()
 

@@ -197,7 +197,6 @@ def fit_frames(
     label, implied = prior_label(residual)
     known = residual.groupBy(*keys).agg(F.bool_or(label.isNotNull()).alias("_labelled"))
     rows = residual.join(known, keys).withColumn("_y", F.when(F.col("_labelled"), label).otherwise(implied))
-    exported = residual.groupBy(*keys).agg(F.bool_or(finite(or_null(residual, "p_prior")).isNotNull()).alias("_exported"))
     raw = lambda df: F.when(F.col("_exported"), finite(or_null(df, "p_prior"))).otherwise(
         sigmoid(finite(or_null(df, "s_prior")))
     )
@@ -212,7 +211,11 @@ def fit_frames(
     models = cut(fit_platt(train, [*keys, "fit"], "_z", "_y", limit), "prior-fits")
 
     def finish(df: DataFrame) -> DataFrame:
-        df = df.join(exported, keys, "left").withColumn("_raw", raw(df))
+        # each table of a fit decides for itself whether prior probabilities were exported
+        table = [*keys, "fit", "role"]
+        exported = df.groupBy(*table).agg(F.bool_or(finite(or_null(df, "p_prior")).isNotNull()).alias("_exported"))
+        df = df.join(cut(exported, "exported-priors"), table, "left")
+        df = df.withColumn("_raw", raw(df))
         df = prior_probability(df, models, [*keys, "fit"], "_raw")
         named = feature_columns(df)
         return df.select(

@@ -57,14 +57,14 @@ def line_order() -> Column:
 def read_predictions(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> DataFrame:
     """All prediction files below ``root/model/dataset/run/`` as one table.
 
-    Run keys come from the file path. A file's ``split`` names the source split and
+    Run keys come from the file path, with or without their names (``model=m``). A file's ``split`` names the source split and
     ``phase`` the part of the run: ``split`` of the table is the phase where there is
     one, the file's own is kept as ``source_split``. ``row_id`` is unique in its run
     and phase as long as each has one file, and grows with the line.
     """
     raw = spark.read.schema(AUDIT_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    at = lambda i: F.element_at(parts, i)
+    at = lambda i: F.regexp_replace(F.element_at(parts, i), "^[a-z_]+=", "")
     tagged = raw.select(
         "*", at(-4).alias("model"), at(-3).alias("dataset"), at(-2).alias("test_run"), line_order().alias("row_id")
     ).withColumns({"source_split": F.col("split"), "split": F.coalesce("phase", "split")})
@@ -76,25 +76,28 @@ def source_interactions(train: DataFrame) -> DataFrame:
     return train.select(*[c for c in SOURCE_COLUMNS if c in train.columns])
 
 
+def read_split_file(spark: SparkSession, path: str, file_order: Column) -> DataFrame:
+    """The source columns of one split file by its own header, with ``file_order`` and its place ``row_id``; a missing column is null."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    rows = raw if set(SOURCE_COLUMNS) & set(raw.columns) else raw.limit(0)
+    return rows.select(
+        *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in SOURCE_COLUMNS],
+        file_order.alias("file_order"), line_order().alias("row_id"),
+    )
+
+
 def read_related_splits(spark: SparkSession, folder: str, train_file: str) -> DataFrame:
     """Every ``*_with_id.csv`` below a folder, train first, then by name (``file_order``).
 
-    Each file is read with its own header, in any column order; a column that a file
-    lacks is null there, and a file without any source column gives no rows. ``row_id`` is
-    the place in the file, so (file_order, row_id) is the order of all lines.
+    Files may differ in their columns and column order; a file without any source
+    column gives no rows. (file_order, row_id) is the order of all lines.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_with_id.csv").option("recursiveFileLookup", True).load(folder)
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS], T.StructField("file_order", T.StringType()), T.StructField("row_id", T.LongType())])
-    out = spark.createDataFrame([], schema)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    order = F.when(name == train_file, F.lit("")).otherwise(name)
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in SOURCE_COLUMNS) + ", file_order string, row_id bigint")
     for path in sorted(r.path for r in files.select("path").collect()):  # the split files of one dataset
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-        if not set(SOURCE_COLUMNS) & set(raw.columns):
-            continue
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        out = out.unionByName(raw.select(
-            *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in SOURCE_COLUMNS],
-            F.when(name == train_file, F.lit("")).otherwise(name).alias("file_order"), line_order().alias("row_id"),
-        ))
+        out = out.unionByName(read_split_file(spark, path, order))
     return out
 
 
