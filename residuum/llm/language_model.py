@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.llm.frequent import most_frequent
 from residuum.llm.text import texts, words
 from residuum.storage import cut
 
@@ -270,7 +271,7 @@ def score_tokens(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarr
 
 def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, np.ndarray, Net]:
     """Vocabulary, form of each head word and trained weights. ``docs`` are the training texts, ``counts`` their words."""
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    head = sorted(most_frequent(counts, "c", HEAD).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     index = {bytes(r["word"]): i for i, r in enumerate(head)}
     forms = np.array([form(w) for w in index] or [0], np.int64)
     softmax = min(SOFTMAX, len(index))
