@@ -180,6 +180,16 @@ def test_secrets(spark):
     assert secrets.scan(nothing, secrets.train(nothing, []), []).collect() == []
 
 
+def test_secrets_behind_an_equals_sign(spark):
+    aws, github, sha = "AKIA" + "Q7ZK2M4T" * 2, "ghp_" + "a8Kd02mZq7Lx" * 3, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    forms = [f"API_KEY={aws}", f"export TOKEN={github}\n", f"see https://h.net/x?token={sha}&n=1", f'api_key="{sha}"', f"a=b={aws}", f"AVERYLONGKEYNAME=={github}"]
+    want = [aws, github, sha, sha, aws, github]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    for r in secrets.scan(docs, trees.Ensemble([(1.0, 1.0)], False), []).collect():
+        assert want[r.doc_id] in [f.value for f in r.findings]
+        assert all(forms[r.doc_id][f.start : f.end] == f.value for f in r.findings)
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>'
     '<nav><ul><li><a href="/">Menu {0}</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="box">Call us now</div>'
