@@ -7,7 +7,7 @@ class of its form (its ending), inside which it has its smoothed share of the
 counts. So each word of any vocabulary has a probability and they sum to one.
 
 Weights start from the log counts and are trained by truncated backpropagation
-in Spark tasks: a fixed share of the training texts is dealt to shards, every
+in Spark tasks: all training texts are dealt to shards, every
 shard trains from the same weights, and their weights are averaged, ``ROUNDS``
 times. Scoring runs many texts side by side, in windows, and carries each text's
 state from window to window, so a text of any length is scored whole. The
@@ -39,14 +39,12 @@ SOFTMAX = 2048
 CLASS_SIZE = 64
 FORMS = 16
 HIDDEN = 24
-#: Share of the training texts that the recurrent weights see, and the least number of them.
-SHARE = 1 / 48
-LEAST_DOCS = 400
 #: Texts of a shard at least, and shards at most.
 SHARD_DOCS, SHARDS = 400, 1024
 ROUNDS = 2
 LANES, WINDOW = 64, 16
-#: Tokens scored side by side in one go, counted words held, steps between two softmax passes.
+#: Tokens a shard trains on in one go, tokens scored side by side in one go, counted words held, steps between two softmax passes.
+TRAIN_TOKENS = 1_000_000
 GO_TOKENS = 3_000_000
 TASK_WORDS = 300_000
 STEPS = 32
@@ -294,21 +292,27 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str
     v = Vocabulary(index, np.array([r["c"] for r in head] or [0], np.float64), softmax, mass, int(total or 0), int(distinct))
     net = Net.start(v, forms)
     n = docs.count()
-    share = min(1.0, max(SHARE, LEAST_DOCS / max(n, 1)))
-    shards = max(1, min(SHARDS, int(n * share / SHARD_DOCS)))
-    some = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(
-        F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    some = cut(some.repartition(shards), "lm-train")
+    shards = max(1, min(SHARDS, n // SHARD_DOCS))
+    every = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    every = cut(every.repartition(shards), "lm-train")
     spark = docs.sparkSession
     for turn in range(ROUNDS):
         state = spark.sparkContext.broadcast((net, v, forms))
 
         def run(batches: Iterator[pd.DataFrame], state=state, turn=turn) -> Iterator[pd.DataFrame]:
             net, v, forms = state.value
-            docs_ = [v.tokens((t or "").encode())[0] for b in batches for t in b["text"]]
+            docs_, held, seen = [], 0, 0
+            for b in batches:
+                for t in b["text"]:
+                    docs_.append(v.tokens((t or "").encode())[0])
+                    held += len(docs_[-1])
+                    if held > TRAIN_TOKENS:
+                        net = train_shard(net, v, forms, docs_, 0.01 / (1 + turn))
+                        docs_, held, seen = [], 0, seen + held
             if docs_:
-                trained = train_shard(net, v, forms, docs_, 0.01 / (1 + turn))
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "weight": [float(sum(map(len, docs_)))], "net": [pickle.dumps(trained.p)]})
+                net = train_shard(net, v, forms, docs_, 0.01 / (1 + turn))
+            if seen + held:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "weight": [float(seen + held)], "net": [pickle.dumps(net.p)]})
 
         def merge(frame: pd.DataFrame) -> pd.DataFrame:
             weight = frame["weight"].sum()
@@ -319,7 +323,7 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str
             return pd.DataFrame({"part": [0], "weight": [weight], "net": [pickle.dumps(out)]})
 
         schema = "part long, weight double, net binary"
-        parts = cut(some.mapInPandas(run, schema), "lm-weights")
+        parts = cut(every.mapInPandas(run, schema), "lm-weights")
         merged = parts.groupBy(F.pmod("part", F.lit(32)).alias("k")).applyInPandas(lambda f: merge(f), schema)
         last = merged.groupBy(F.lit(0).alias("k")).applyInPandas(lambda f: merge(f), schema).collect()
         if last:

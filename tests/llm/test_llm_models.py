@@ -100,6 +100,21 @@ def test_language_model_edges(spark):
     assert language_model.score(rows.limit(0), F.lit(True)).collect() == []
 
 
+def test_language_model_trains_on_every_training_text(spark, monkeypatch):
+    sizes = {}
+    real = language_model.cut
+
+    def counted(frame, label):
+        stored = real(frame, label)
+        sizes.setdefault(label, stored.count())
+        return stored
+
+    monkeypatch.setattr(language_model, "cut", counted)
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b"), F.col("id") % 7).alias("text"))
+    assert language_model.score(docs, F.col("doc_id") % 5 != 1).count() == 1500
+    assert sizes["lm-train"] == 1200
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
