@@ -30,15 +30,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the smallest id; of rows that repeat that id, one."""
-    classes = near_duplicates(docs, n=5, percent=80)
-    gone = classes.where("NOT kept").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
-    twice = cut(twice, "repeated-ids")
-    once = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
-    several = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(several)
+    """One row of each group stays: the smallest id, a null id last; of rows that repeat that id, one. Ids link nothing."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(keyed, "_row", n=5, percent=80).select(F.col("id").alias("_row"), "component_id")
+    member = classes.join(keyed.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stays = member.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return keyed.join(stays, "_row", "left_semi").drop("_row")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

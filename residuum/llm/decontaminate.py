@@ -149,11 +149,7 @@ def _search(source: DataFrame, rows: list, percent: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text contains no item; a null id is judged by its own text through ``contained_items``.
-
-    Rows that share an id with a contaminated row go with it.
-    """
-    hit = contained_items(docs, items, **options).select("doc_id").distinct()
-    key = options.get("doc_id", "doc_id")
-    hit = hit.withColumnRenamed("doc_id", "_hit")
-    return docs.join(hit, docs[key].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of ``docs`` whose text contains no item; every row is judged by its own text, whatever its id."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    hit = contained_items(keyed, items, **{**options, "doc_id": "_row"}).select(F.col("doc_id").alias("_hit")).distinct()
+    return keyed.join(hit, keyed["_row"] == hit["_hit"], "left_anti").drop("_row")

@@ -287,3 +287,34 @@ def test_pipeline_stages(spark):
         want = t.encode(private[i].text, add_special_tokens=False).ids
         assert r.round_trip and r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    a, b, c, d, leak, e = (text() for _ in range(6))
+    item = " ".join(leak.split(" ")[10:40])
+    rows = [(None, a), (None, a), (3, b), (3, c), (4, b), (None, d), (None, leak), (7, leak + " more"), (7, e), (2, e), (9, d)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(*r, "x") for r in rows], schema)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, a), (3, b), (3, c), (7, leak + " more"), (2, e), (9, d)], key=str)
+    clean = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted([r for r in rows if leak not in r[1]], key=str)
+
+
+def test_pipeline_removes_the_contaminated_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    wanted = [(shingles(i, 5), min(5, len(words(i)))) for i in items if words(i)]
+    want = set()
+    for r in docs.collect():
+        w = words(low(r.text or ""))
+        own = {k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for k in {k for _, k in wanted}}
+        if any(100 * len(s & own[k]) >= 80 * len(s) for s, k in wanted):
+            want.add(r.doc_id)
+    assert want
+    left = {r.doc_id for r in corpus_pipeline.benchmark(spark, docs, folder).select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.collect()} - want
