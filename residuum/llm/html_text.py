@@ -56,7 +56,7 @@ NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Headings, paragraphs, lists and tables of the article itself are its text, however many near copies of it the host has.
 _OWN = re.compile(r">(?:article|main)[^>]*(?:>(?:p|h[1-6]|[uod]l|li|dt|dd|table|tbody|thead|tr|td|th|blockquote|pre|figure|figcaption)[^>]*)+$")
 _NOISE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NOISE_WORDS) + r")(?:$|[\s_-])")
@@ -130,11 +130,11 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 if key == "role":
                     off = off or value in NOISE_ROLES
                     main = main or value in ("main", "article")
-                elif key == "hidden":
+                elif key == "hidden" or key == "aria-hidden" and value == "true":
                     off = True
                 elif key == "itemprop":
                     main = main or value == "articlebody"
-                else:
+                elif key in ("class", "id"):
                     if value and _NOISE.search(value) and name not in ("html", "body", "article", "main"):
                         off = True
                     if key == "class":

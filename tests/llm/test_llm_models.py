@@ -225,6 +225,17 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_attributes_count_by_name_not_by_value():
+    kept = [
+        '<div style="overflow:hidden">', '<article style="overflow:hidden">', '<div aria-hidden="false">', '<div title="a hidden gem">', "<div data-id='related'>",
+        '<div data-hidden="x">', "<div title='role=\"dialog\" hidden'>", "<div title=hidden>", '<div title = "x" lang="en">',
+    ]
+    gone = ["<div hidden>", '<div HIDDEN="">', '<div aria-hidden="true">', "<div id=related>", '<div title="x"hidden>', "<div role='dialog'>", '<div class="sidebar">', '<div title = "x" hidden>']
+    for tag in kept + gone:
+        found = html_text.blocks(f"{tag}<p>Text")
+        assert [(b[1], b[2]) for b in found] == [("Text", tag in gone)], tag
+
+
 def test_style_tree_drops_what_all_pages_share(spark):
     """Without an article element the template goes by its importance, the text stays."""
     page = "<body><div class='top'>Always the same line</div><div class='body'><p>Own text {0} a{0}</p><p>More {0}</p></div><div class='end'>Same end</div>"
