@@ -135,10 +135,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic").where(fold(4) != 2)
     model = toxicity.train(toxicity.labelled_rows(docs, labels, fold(4) != 2))
-    scored = toxicity.score(docs, model).drop("text")
-    scored = cut(scored, "toxicity")
-    limits = toxicity.language_thresholds(scored.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id"))
-    out = scored.join(F.broadcast(limits.limit(1000)), scored["lang"].eqNullSafe(limits["lang"]), "left").drop(limits["lang"])
+    scored = cut(toxicity.raw_scores(docs, model).drop("text"), "toxicity")
+    marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.decision_point(scored.join(marked, "doc_id"), model)
+    scored = scored.withColumn("score", toxicity.probability(F.col("raw"), model)).drop("raw")
+    limits = toxicity.language_thresholds(scored.join(marked, "doc_id"))
+    out = scored.join(limits, scored["lang"].eqNullSafe(limits["lang"]), "left").drop(limits["lang"])
     return out.select(
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"), "lang",

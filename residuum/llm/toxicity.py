@@ -13,7 +13,7 @@ that table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -284,14 +284,46 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, usable: Column, max_rows:
     return [(words((r["text"] or "").encode()), int(r["toxic"])) for r in rows]
 
 
+def decision_point(scored: DataFrame, model: Model, steps: int = 50) -> Model:
+    """``model`` with the decision point at the best F1 over all rows of ``scored`` (raw, toxic 0/1); unchanged where a label is missing.
+
+    Counts and ends of score cells only; the point is the middle of the gap below the best cell.
+    """
+    cells = scored.groupBy(F.floor(F.greatest(F.least("raw", F.lit(100.0)), F.lit(-100.0)) * steps).cast("int").alias("cell")).agg(
+        F.sum("toxic").alias("ones"), F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+    rows = sorted(cells.collect(), key=lambda r: -r["cell"])  # 200 x steps rows at most
+    ones, n = sum(r["ones"] for r in rows), sum(r["n"] for r in rows)
+    if not 0 < ones < n:
+        return model
+    hits = np.cumsum([r["ones"] for r in rows])
+    k = int((2 * hits / (np.cumsum([r["n"] for r in rows]) + ones)).argmax())
+    following = rows[k + 1]["high"] if k + 1 < len(rows) else rows[k]["low"] - 1
+    return replace(model, shift=float((rows[k]["low"] + following) / 2))
+
+
+def probability(raw: Column, model: Model) -> Column:
+    """``Model.probability`` as an SQL expression."""
+    z = (raw - model.shift) * model.scale + float(np.log(CUT / (1 - CUT)))
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
+
+
+def raw_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column raw, the output of the network for each whole text."""
+    return _scored(docs, model, text_col, "raw", lambda m, raw: raw)
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with a column score in 0..1 for each whole text; null and empty texts get the network's score of no word.
 
     Only the text is read. Repeated texts score alike; a column named score is replaced.
     """
-    source = docs.drop("score")
+    return _scored(docs, model, text_col, "score", Model.probability)
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str, name: str, value) -> DataFrame:
+    source = docs.drop(name)
     at = source.columns.index(text_col)
-    schema = source.withColumn("score", F.lit(0.0)).schema
+    schema = source.withColumn(name, F.lit(0.0)).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +331,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             raw = np.array([raw_score(words(t), seen) for t in texts(batch.column(at))])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sent.value.probability(raw), pa.float64())], [*batch.schema.names, "score"]
+                [*batch.columns, pa.array(value(sent.value, raw), pa.float64())], [*batch.schema.names, name]
             )
 
     return source.mapInArrow(run, schema)

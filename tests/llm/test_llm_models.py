@@ -139,6 +139,16 @@ def test_toxicity_edges(spark):
         assert 0 <= float(toxicity.train(only).probability(np.array([toxicity.train(only).offset]))[0]) <= 1
 
 
+def test_toxicity_decision_point_counts_all_labels(spark):
+    """Many negatives between two groups of positives: good at equal shares, not at the table's."""
+    rows = [(2.0 + i / 100, 1) for i in range(20)] + [(1.0 + i / 1000, 0) for i in range(200)] + [(0.5 + i / 100, 1) for i in range(10)] + [(-1.0, 0)] * 100
+    model = toxicity.train([])
+    got = toxicity.decision_point(spark.createDataFrame(rows, "raw double, toxic int"), model)
+    assert 1.199 < got.shift < 2.0 and toxicity.decision_point(spark.createDataFrame(rows[:5], "raw double, toxic int"), model).shift == model.shift
+    shown = spark.createDataFrame(rows, "raw double, toxic int").select("raw", toxicity.probability(F.col("raw"), got).alias("p")).collect()
+    assert np.allclose([r.p for r in shown], got.probability(np.array([r.raw for r in shown])))
+
+
 URLS = [
     None, "", "no scheme/x", "http://", "http://A.Example.ORG/es/1?x=1#y", "https://example.org", "http://example.org/en/12", "http://example.org/en/2", "http://notexample.com/de/",
     "http://x.com/fr/9.html", "http://u:p@h.net/a#b?c", "ftp://q.net?x=http://org/", "http://org/", "http://x.net/" + "a/" * 5000, "http://é.ÀB.com/de/ü",
