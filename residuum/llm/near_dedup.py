@@ -76,8 +76,9 @@ def bin_minima(shingles: np.ndarray, bins: int, table: np.ndarray) -> np.ndarray
         empty = empty[~hit]
         if not len(empty):
             return out
-    full = np.flatnonzero(filled)  # very small sets: a fixed draw among the filled bins
-    out[empty] = out[full[table[0][empty] % len(full)]]
+    full = np.flatnonzero(filled)  # very small sets: the first filled bin in a fixed order of all bins, one order for each empty bin
+    order = mix((empty[:, None] * bins + full + bins * len(table) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out[empty] = out[full[order.argmin(axis=1)]]
     return out
 
 
