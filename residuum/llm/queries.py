@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import html_text, language_model, pii, secrets, toxicity, url_filter
+from residuum.llm import conversations, html_text, language_model, order_minhash, pii, secrets, toxicity, url_filter, va_clusters
 from residuum.llm.bpe import decode, encode
 from residuum.llm.decontaminate import contained_items
 from residuum.llm.near_dedup import near_duplicates
@@ -190,3 +191,30 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.with_edits(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = conversations.damage(turns)
+    audits = conversations.audit(damaged, turns)
+    return conversations.digest(damaged, audits)
+
+
+@query("op13_centroid_clusters")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    assigned, centroids = va_clusters.cluster(table(spark, folder, "embeddings"))
+    assigned = cut(assigned, "va-assigned")
+    sums = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()
+    total = sum(int(r["s"]) for r in sums)
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    rows = [(r["cluster"], str(r["s"]), str(total), names[r["cluster"]]) for r in sums]
+    about = spark.createDataFrame(rows, "cluster int, own string, every string, centroid_sha256 string")
+    return assigned.join(F.broadcast(about), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", F.col("own").try_cast("long").alias("cluster_inertia"),
+        F.col("every").try_cast("long").alias("inertia"), "centroid_sha256")
