@@ -1,10 +1,11 @@
 """Centroid clustering over a vector approximation file.
 
-Each component of a vector falls into one of ``2 ** BITS`` cells of its dimension;
+Each component of a vector falls into one of ``2 ** bits`` cells of its dimension;
 the approximation file holds only these few bits. For a centroid, a table gives
-the least and the greatest squared difference of each cell, and their sums over
-the dimensions bound the distance. A vector whose best interval lies below all
-others is assigned by its cells alone; full vectors are fetched only where
+the least and the greatest value that each cell adds to the squared distance, and
+their sums over the dimensions bound it. All distances are taken less the distance to one
+reference point between the centroids: that term is the same for all, and without it the
+intervals are narrow. A vector whose best interval lies below all others is assigned by its cells alone; full vectors are fetched only where
 intervals overlap, or where a vector changes its cluster and its components must
 move from one sum to the other. All arithmetic is in integers, so results do
 not depend on partitions.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from residuum.storage import cut
 
-#: Bits of a component in the approximation file (a byte holds a whole number of components).
-BITS = 4
+#: Bits of a component in the approximation file: 1, 2, 4 or 8, so that a byte holds whole components.
+BITS = 8
 #: Integer steps of a component of size one; components beyond ``REACH`` steps have no exact 64-bit distance.
 SCALE, REACH = 1024, 1 << 27
 #: Vectors that choose the limits of the cells (about; drawn by a hash of the key). Any limits give exact results.
@@ -41,14 +42,20 @@ class Store:
     """The written files: (key, id, cells) is the approximation, (key, vector) the rest; and the limits of the cells."""
 
     table: DataFrame
-    limits: np.ndarray  # (dims, 2 ** BITS - 1): a component's cell is the number of limits not above it
+    limits: np.ndarray  # (dims, 2 ** bits - 1): a component's cell is the number of limits not above it
     low: np.ndarray
     high: np.ndarray
+    bits: int = BITS
 
     @property
     def dims(self) -> int:
         return len(self.low)
 
+    @property
+    def width(self) -> int:
+        """Bytes of an approximation."""
+        return -(-self.dims * self.bits // 8)
+
 
 def integers(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(mask, matrix): which rows are kept, and floor(SCALE * x) of their components."""
@@ -66,34 +73,32 @@ def vectors_of(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, dims).astype(np.int64)
 
 
-def cells_of(x: np.ndarray, limits: np.ndarray) -> np.ndarray:
+def cells_of(x: np.ndarray, limits: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Packed cells of each row of ``x``, several to a byte."""
     cells = np.stack([np.searchsorted(limits[d], x[:, d], "right") for d in range(x.shape[1])], axis=1).astype(np.uint8)
-    per = 8 // BITS
+    per = 8 // bits
     cells = np.pad(cells, ((0, 0), (0, -x.shape[1] % per)))
     out = np.zeros((len(x), cells.shape[1] // per), np.uint8)
     for j in range(per):
-        out |= cells[:, j::per] << np.uint8(j * BITS)
+        out |= cells[:, j::per] << np.uint8(j * bits)
     return out
 
 
 def bound_tables(centroids: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
-    """(least, greatest): (bytes of an approximation, 256, centroids), squared distance that each byte's components add."""
-    dims, per = store.dims, 8 // BITS
-    cells = 1 << BITS
+    """(least, greatest): (bytes of an approximation, 256, centroids), what each byte's components add to the squared
+    distance to a centroid less that to the reference point r. A component x adds (x - c)^2 - (x - r)^2, which is linear in x."""
+    per = 8 // store.bits
     low = np.concatenate([store.low[:, None], store.limits], axis=1)
     high = np.concatenate([store.limits - 1, store.high[:, None]], axis=1)
     low, high = np.maximum(low, store.low[:, None]), np.minimum(high, store.high[:, None])
+    r = (centroids.sum(axis=0) // len(centroids))[:, None, None]
     c = centroids.T[:, None, :]  # dims, 1, centroids
-    below, above = low[:, :, None] - c, c - high[:, :, None]
-    least = np.maximum(np.maximum(below, above), 0) ** 2
-    greatest = np.maximum(np.abs(low[:, :, None] - c), np.abs(high[:, :, None] - c)) ** 2
+    one, other = ((r - c) * (2 * x[:, :, None] - c - r) for x in (low, high))
     byte = np.arange(256)
-    width = -(-dims // per)
     out = []
-    for one in (least, greatest):
-        one = np.pad(one, ((0, width * per - dims), (0, 0), (0, 0)))
-        out.append(sum(one[j::per][:, (byte >> (j * BITS)) & (cells - 1)] for j in range(per)))
+    for ends in (np.minimum(one, other), np.maximum(one, other)):
+        ends = np.pad(ends, ((0, store.width * per - store.dims), (0, 0), (0, 0)))
+        out.append(sum(ends[j::per][:, (byte >> (j * store.bits)) & ((1 << store.bits) - 1)] for j in range(per)))
     return out[0], out[1]
 
 
@@ -122,7 +127,7 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, far[np.arange(len(x)), best]
 
 
-def build(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str = "embedding") -> Store:
+def build(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> Store:
     """Write the kept vectors with their cells, and return the files with their limits.
 
     Kept are vectors of exactly ``dims`` components, none null, not finite or beyond ``REACH`` steps.
@@ -134,7 +139,6 @@ def build(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str
             rows = [r.tobytes() for r in x.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask)), pa.array(rows, pa.binary())], ["id", "vector"])
 
-    spark = vectors.sparkSession
     used = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     whole = cut(used.mapInArrow(pack, "id long, vector binary").withColumn("key", F.monotonically_increasing_id()), "va-vectors")
 
@@ -154,7 +158,7 @@ def build(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str
     share = min(1.0, SAMPLE / max(n, 1))
     drawn = whole.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector") if n else whole.limit(0)
     some = np.frombuffer(b"".join(bytes(r["vector"]) for r in drawn.collect()), np.int32).reshape(-1, dims)
-    steps = np.arange(1, 1 << BITS) / (1 << BITS)
+    steps = np.arange(1, 1 << bits) / (1 << bits)
     limits = np.quantile(some, steps, axis=0, method="higher").T.astype(np.int64) if len(some) else np.zeros((dims, len(steps)), np.int64)
     low = np.array([r["low"] for r in ends] or [0] * dims, np.int64)
     high = np.array([r["high"] for r in ends] or [0] * dims, np.int64)
@@ -162,18 +166,18 @@ def build(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = vectors_of(batch.column(2), dims)
-            cells = [r.tobytes() for r in cells_of(x, limits)]
+            cells = [r.tobytes() for r in cells_of(x, limits, bits)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], ["key", "id", "vector", "cells"])
 
     table = cut(whole.select("key", "id", "vector").mapInArrow(approximate, "key long, id long, vector binary, cells binary"), "va-file")
-    return Store(spark.read.schema(table.schema).parquet(*table.inputFiles()) if n else table, limits, low, high)
+    return Store(table, limits, low, high, bits)
 
 
 def unclear(store: Store, before: np.ndarray | None, now: np.ndarray) -> DataFrame:
     """(key) of the vectors whose full components a round needs: cells that leave a cluster open, or that move."""
     tables = None if before is None else bound_tables(before, store)
     own = bound_tables(now, store)
-    width = -(-store.dims // (8 // BITS))
+    width = store.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +193,7 @@ def moved(store: Store, fetched: DataFrame, before: np.ndarray | None, now: np.n
     """(cluster, d, change): what the vectors that change their cluster add to the sums of both; d = dims counts them."""
     dims, count = store.dims, len(now)
     tables = None if before is None else (bound_tables(before, store), bound_tables(now, store))
-    width = -(-dims // (8 // BITS))
+    width = store.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.zeros((count, dims + 1), np.int64)
@@ -238,7 +242,7 @@ def round_of(store: Store, before: np.ndarray | None, now: np.ndarray, fetch: in
 
 def cluster(
     vectors: DataFrame, dims: int = 64, k: int = 8, rounds: int = 10, seed: str = "3", id_col: str = "vec_id", vector_col: str = "embedding",
-    fetch: int = FETCHED, report: list | None = None,
+    bits: int = BITS, fetch: int = FETCHED, report: list | None = None,
 ) -> tuple[DataFrame, np.ndarray]:
     """Assignments (id, cluster, distance) of the kept vectors after ``rounds`` rounds, and the centroids.
 
@@ -249,7 +253,7 @@ def cluster(
     number) and moves every non-empty centroid to the floor of its mean. Repeated rows count each for itself and keep their
     row; other columns are ignored; an empty table gives no row and no centroid. ``report`` gets the number of vectors fetched in each round.
     """
-    store = build(vectors, dims, id_col, vector_col)
+    store = build(vectors, dims, id_col, vector_col, bits)
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     first = store.table.select("vector", name.alias("name")).orderBy("name", "vector").limit(k).collect()
     now = np.array([np.frombuffer(bytes(r["vector"]), np.int32) for r in first], np.int64).reshape(-1, dims)

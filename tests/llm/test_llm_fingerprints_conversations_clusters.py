@@ -320,24 +320,28 @@ def test_clusters_against_brute_force(spark, dims, n, fetch):
     want, c = plain_clusters(rows, dims)
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
     assert centroids.tolist() == c
-    if n == 300 and fetch:
-        assert min(report[1:]) < 309  # some rounds are decided by cells for most vectors
+    if n == 300:
+        assert min(report[1:]) < 200  # in some round most vectors are decided by their cells
 
 
-def test_intervals_hold(spark):
+@pytest.mark.parametrize("bits", [1, 2, 4, 8])
+def test_intervals_hold(bits):
     rng = np.random.default_rng(5)
-    x = rng.integers(-500, 500, (400, 10))
-    limits = np.sort(rng.integers(-400, 400, (10, 15)), axis=1)
-    store = va_clusters.Store(None, limits, x.min(axis=0), x.max(axis=0))
-    centroids = rng.integers(-500, 500, (5, 10))
+    x = rng.integers(-500, 500, (400, 11))
+    limits = np.sort(rng.integers(-400, 400, (11, (1 << bits) - 1)), axis=1)
+    store = va_clusters.Store(None, limits, x.min(axis=0), x.max(axis=0), bits)
+    centroids = rng.integers(-500, 500, (5, 11))
     least, greatest = va_clusters.bound_tables(centroids, store)
-    cells = va_clusters.cells_of(x, limits)
-    low = sum(least[j][cells[:, j]] for j in range(cells.shape[1]))
-    high = sum(greatest[j][cells[:, j]] for j in range(cells.shape[1]))
+    cells = va_clusters.cells_of(x, limits, bits)
+    assert cells.shape[1] == store.width
+    low = sum(least[j][cells[:, j]] for j in range(store.width))
+    high = sum(greatest[j][cells[:, j]] for j in range(store.width))
     far = ((x[:, None, :] - centroids) ** 2).sum(axis=2)
-    assert (low <= far).all() and (far <= high).all()
+    less = far - ((x - centroids.sum(axis=0) // 5) ** 2).sum(axis=1)[:, None]
+    assert (low <= less).all() and (less <= high).all()
     found = va_clusters.by_cells(cells, (least, greatest))
     assert (found[found >= 0] == far.argmin(axis=1)[found >= 0]).all()
+    assert (found >= 0).mean() > (0.9 if bits == 8 else 0.0)
 
 
 # ---------------------------------------------------------------- registered queries
