@@ -183,11 +183,32 @@ def profile_fit_for_test(t):
     return audit.candidate_rows(fitted, coverage, SETTINGS, "test")
 
 
+def boosted(t):
+    """Scores and fits of the boosted baseline over all fits of the stage."""
+    return strengthening.boosted_scores(stage(t)[2].frames, KEYS)
+
+
 @check("boosted_tree_baseline")
 def boosted_tree_baseline(t):
-    frames = stage(t)[2].frames.where("fit = -1")
-    pooled = strengthening.boosted_scores(frames, ["group_axis"], iterations=10)
-    return ranking.auc_metrics(pooled, ["group_axis", "fit"], "score", "base_wrong")
+    scores, _ = boosted(t)
+    split = F.when(F.col("fit") >= 0, "validation").otherwise("test")
+    return ranking.auc_metrics(scores.withColumn("split", split), [*KEYS, "split", "fit"], "score", "base_wrong")
+
+
+@check(
+    "boosted_tree_fits",
+    """SELECT model, dataset, test_run, CAST(fit AS INT) AS fit, count(*) FILTER (role = 'fit') AS n, CAST(coalesce(sum(base_wrong) FILTER (role = 'fit'), 0) AS BIGINT) AS ones,
+              CASE WHEN coalesce(sum(base_wrong) FILTER (role = 'fit'), 0) IN (0, count(*) FILTER (role = 'fit')) THEN 'single_class' ELSE 'complete' END AS status,
+              CASE WHEN coalesce(sum(base_wrong) FILTER (role = 'fit'), 0) IN (0, count(*) FILTER (role = 'fit')) THEN 0 ELSE count(*) FILTER (role = 'held') END AS scored
+       FROM fc JOIN (SELECT row_id, model, dataset, test_run, base_wrong FROM fx) b USING (row_id, model, dataset, test_run) GROUP BY ALL HAVING n > 0""",
+    (),
+    FIT_CTES,
+)
+def boosted_tree_fits(t):
+    own, test = _policy_rows(t)
+    scores, fits = strengthening.boosted_scores(profiles.fit_frames(cut(own, "own"), test, KEYS, 3), KEYS)
+    scored = scores.groupBy(*KEYS, "fit").agg(F.count("score").alias("scored"))
+    return fits.join(scored, [*KEYS, "fit"], "left").select(*RUN, "fit", "n", "ones", "status", F.coalesce("scored", F.lit(0)).alias("scored"))
 
 
 @check("falsified_ranker")

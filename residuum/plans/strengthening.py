@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.functions.columns import finite, or_null
 from residuum.operators import permute, profiles, quality, ranking, registry, selection, stats
-from residuum.operators.prefix import medians
+from residuum.operators.boosting import Boosting, boost
 from residuum.plans.audit import KEYS, RUN_KEYS, AuditSettings, ProfileStage
 from residuum.storage import cut
 
@@ -45,46 +45,42 @@ def scalar_scores(states: DataFrame, methods: dict[str, str] = SCALAR_METHODS) -
 
 
 def boosted_scores(
-    frames: DataFrame, keys: Sequence[str], iterations: int = 100, seed: int = 2026, fits: Sequence[int] | None = None
-) -> DataFrame:
-    """Boosted-tree scores of held rows, one distributed model per (keys, fit).
+    frames: DataFrame, keys: Sequence[str], growth: Boosting = Boosting(), min_feature_n: int = profiles.MIN_FEATURE_N
+) -> tuple[DataFrame, DataFrame]:
+    """Boosted-tree scores of held rows and the fits, for every (keys, fit) of ``frames`` in the same passes.
 
-    The groups are read once (they are grid points); each model trains on the
-    whole cluster. Depth-limited trees stand in for leaf-limited ones.
+    A fit without usable features of each required block of the full profile has a status and no scores.
     """
-    keys = [*keys, "fit"]
-    used = [profiles.FEATURES.index(f) for f in FULL_PROFILE.features]
-    rows = frames.where("base_wrong is not null or role = 'held'")
-    points = rows.where("role = 'fit'").select(*keys).distinct()
-    if fits is not None:
-        points = points.where(F.col("fit").isin(*fits))
-    long = rows.where("role = 'fit'").select(*keys, F.posexplode("x").alias("feature", "value"))
-    fill = medians(long.where(F.col("feature").isin(*used)), [*keys, "feature"], "value")
-    filler = fill.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("fill"))
-    value = lambda i: F.coalesce(
-        F.get(F.col("x"), F.lit(i)), F.try_element_at(F.col("fill"), F.lit(i)), F.lit(0.0)
-    )
-    ready = rows.join(filler, keys, "left").withColumn("features", array_to_vector(F.array(*[value(i) for i in used])))
-    weights = registry.class_weights(rows.where("role = 'fit'"), keys, "base_wrong")
-    ready = ready.join(weights, keys).withColumn(
-        "weight", F.when(F.col("base_wrong") > 0.5, F.col("weight_positive")).otherwise(F.col("weight_negative"))
+    at = lambda names: [profiles.FEATURES.index(f) for f in names]
+    rows = frames.withColumn("draw", F.col("draw") / float(16**13))
+    return boost(rows, [*keys, "fit"], at(FULL_PROFILE.features), [at(block) for block in FULL_PROFILE.needs], min_feature_n, growth)
+
+
+def boosted_statuses(fits: DataFrame, scores: DataFrame, coverage: DataFrame, residual: DataFrame, s: AuditSettings) -> DataFrame:
+    """Status of the boosted baseline of each policy on both splits, with the features its fits used."""
+    sizes = residual.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.min("base_wrong") != F.max("base_wrong"), F.lit(False)).alias("_two"), F.max("n_folds").alias("_folds"))
+    scored = scores.groupBy(*KEYS).agg(F.count_if((F.col("fit") >= 0) & F.col("score").isNotNull()).alias("_scored"))
+    names = F.array(*map(F.lit, profiles.FEATURES))
+    own = fits.where("status = 'complete'").withColumn("names", F.transform("used", lambda i: F.get(names, i)))
+    used = own.groupBy(*KEYS).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fit") >= 0, F.col("names")))))).alias("_fold_used"),
+        F.max(F.when(F.col("fit") == -1, F.col("names"))).alias("_test_used"))
+    test = coverage.where("split = 'test'").select(*KEYS, F.col("residual_n").alias("_test_n"))
+    out = coverage.where("split = 'validation'").select(*KEYS)
+    for part in (sizes, scored, used, test):
+        out = out.join(part, KEYS, "left")
+    n, got = F.coalesce("_n", F.lit(0)), F.coalesce("_scored", F.lit(0))
+    short = F.when(n < s.min_fit_n, "insufficient_residual_n").when(~F.coalesce("_two", F.lit(False)), "single_residual_class")
+    return out.select(
+        *KEYS, F.lit(BOOSTED).alias("method"),
+        short.when(F.col("_folds").isNull(), "group_cv_unavailable").when(got == 0, "unavailable").when(got < n, "partial")
+        .otherwise("complete").alias("validation_status"),
+        short.when(F.coalesce("_test_n", F.lit(0)) == 0, "empty_test_residual").when(F.col("_test_used").isNull(), "unavailable")
+        .otherwise("complete").alias("test_status"),
+        F.array_join(F.coalesce("_fold_used", F.array().cast("array<string>")), "|").alias("validation_used_features"),
+        F.array_join(F.coalesce("_test_used", F.array().cast("array<string>")), "|").alias("test_used_features"),
     )
-    ready = cut(ready.select(*keys, "role", "row_id", "base_wrong", "features", "weight"), "boosted-rows")
-    out = None
-    for point in points.toLocalIterator():
-        here = ready
-        for k in keys:
-            here = here.where(F.col(k) == F.lit(point[k]))
-        train = here.where("role = 'fit'")
-        model = GBTClassifier(
-            labelCol="base_wrong", weightCol="weight", maxIter=iterations, stepSize=0.05, maxDepth=4,
-            minInstancesPerNode=20, seed=seed,
-        ).fit(train)
-        part = model.transform(here.where("role = 'held'")).select(
-            *keys, "row_id", "base_wrong", F.get(vector_to_array("probability"), F.lit(1)).alias("score")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
 
 
 def falsified_folds(stage: ProfileStage, s: AuditSettings) -> DataFrame:
