@@ -9,13 +9,13 @@ hub with every member), never all pairs. Every edge is confirmed on full sets.
 
 Texts with equal sets are one node. A star may miss a link between two members
 that both fail at the hub; so buckets whose members are in different components
-elect further hubs (``HUBS`` in each round), and only members that are still outside
-are tested pair by pair, where sizes and known distances (the triangle inequality
-of the Jaccard distance) permit a link. Each such pair is tested in the first band
-that it shares. Before full sets are compared, a few bits of each bin rule out
-pairs that are ``BOUND`` standard deviations below the threshold. Losses are a pair
-that shares no band and a pair ruled out by its bits: each below 1e-5 for a pair
-at the threshold, less above it.
+elect further hubs (``HUBS`` in each round). What is still mixed then is confirmed in
+cells: a bucket's members outside its largest component are cut into blocks, so is that component, and each
+block of the first meets each block of both once. A set travels once to a cell, not once to a pair; all its
+links are found there on full sets, and only those that join components leave. Before a star's full sets are
+compared, a few bits of each bin rule out pairs that are ``BOUND`` standard deviations below the
+threshold. Losses are a pair that shares no band and a pair ruled out by its bits: each
+below 1e-5 for a pair at the threshold, less above it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from residuum.storage import cut
 BAND_ROWS = 6
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-5
-#: Hubs that a bucket elects in each round; a bucket still mixed after the last round lists its remaining pairs.
+#: Hubs that a bucket elects in each round; a bucket still mixed after the last round goes to cells.
 HUBS = (1, 4)
 #: Bits kept of each bin for the estimate that rules out pairs, and its one-sided bound in standard deviations.
 PLANES = 4
@@ -45,6 +46,8 @@ BOUND = 4.3
 SENT_IDS = 1_000_000
 #: Members of one hub verified in one slice.
 SLICE = 500
+#: Members and shingles of one block of a cell (about), and shingles compared side by side.
+CELL, CELL_SHINGLES, COLUMNS = 256, 2_000_000, 4096
 
 
 def band_count(percent: int, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -252,9 +255,7 @@ def near_duplicates(
         open_members = cut(now.join(mixed, "bucket"), "open")
         if open_members.isEmpty():
             return _result(marked, nodes, roots)
-    rest = _rest(open_members.join(bits.select("node", "bands", "bits"), "node"), used, tested, bins, percent)
-    found = _sized(verify(cut(_untested(rest, tested), "rest"), sets), size)
-    links = _links(_measured(found, percent)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = in_cells(open_members, sets, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return _result(marked, nodes, cut(components(links), "roots"))
 
 
@@ -285,25 +286,67 @@ def _possible(pairs: DataFrame, bits: DataFrame, bins: int, percent: int) -> Dat
     return both.where(may_link("bits", "hub_bits", F.col("n_shingles"), F.col("hub_size"), bins, percent)).select("hub", "node")
 
 
-def _rest(open_members: DataFrame, used: DataFrame, tested: DataFrame, bins: int, percent: int) -> DataFrame:
-    """Pairs of one bucket and of two components, neither of them a hub there, that may still be links.
+def in_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between members (bucket, node, n_shingles, root) of one bucket and different roots, enough to join all that are linked.
 
-    The distances to the bucket's first hub, where measured, must differ by no
-    more than a link's distance; the bits must permit a link. All this is
-    part of the join, so only such pairs leave it, each in its first common band.
+    The members outside a bucket's largest component (side 0) and those inside (side 1) are dealt to blocks by a hash.
+    Every block of side 0 shares a cell with each block of either side, so no pair is left out. A bucket with one large component
+    and few members outside costs in proportion to its size.
     """
-    first = used.groupBy("bucket").agg(F.min_by("node", "round").alias("hub"))
-    far = tested.select("hub", "node", "far").unionByName(tested.select(F.col("node").alias("hub"), F.col("hub").alias("node"), "far"))
-    columns = ("node", "root", "n_shingles", "far", "bands", "bits")
-    side = cut(open_members.join(first, "bucket").join(far, ["hub", "node"], "left").select("bucket", "band", *columns), "side")
-    other = side.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    near = F.coalesce(F.abs(F.col("far") - F.col("far_b")) * 100 <= 100 - percent + 1e-6, F.lit(True))
-    fits = F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent
-    possible = may_link("bits", "bits_b", F.col("n_shingles"), F.col("n_shingles_b"), bins, percent)
-    common = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-    return side.join(
-        other, (side["bucket"] == other["bucket"]) & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & fits & near & possible & common
-    ).select(F.col("node").alias("hub"), F.col("node_b").alias("node"))
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "weight")).alias("m"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / CELL), F.ceil(weight / CELL_SHINGLES), F.lit(1)).cast("int")
+    about = most.select(
+        "bucket", F.col("m.root").alias("main"), blocks(F.col("n") - F.col("m.n"), F.col("weight") - F.col("m.weight")).alias("outside"),
+        blocks(F.col("m.n"), F.col("m.weight")).alias("inside"))
+    dealt = members.join(about, "bucket").withColumn("side", (F.col("root") == F.col("main")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("side") == 1, F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda low, side, high: F.xxhash64(F.col("bucket"), low.cast("int"), F.lit(side), high.cast("int"))
+    with_main = F.transform(numbers(F.col("inside")), lambda j: cell(F.col("block"), 1, j))
+    with_others = F.transform(numbers(F.col("outside")), lambda j: cell(F.least("block", j), 0, F.greatest("block", j)))
+    inner = F.transform(numbers(F.col("outside")), lambda i: cell(i, 1, F.col("block")))
+    cells = dealt.select("node", "root", F.when(F.col("side") == 1, inner).otherwise(F.concat(with_main, with_others)).alias("cells"))
+    by_node = cells.groupBy("node").agg(F.any_value("root").alias("root"), F.flatten(F.collect_list("cells")).alias("cells"))
+    rows = by_node.join(sets, "node").select(F.explode("cells").alias("cell"), "node", "root", "shingles")
+    return rows.groupBy("cell").applyInPandas(lambda frame: _joined(frame, percent), "a string, b string")
+
+
+def _joined(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of one cell that join different components."""
+    frame = frame.sort_values("node").drop_duplicates("node")
+    sets = frame["shingles"].tolist()
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # shingles of one set only are in no intersection
+    shared_ones = times[place] > 1
+    owner, column = np.repeat(np.arange(n), sizes)[shared_ones], column[place[shared_ones]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)  # whole numbers below 2 ** 24 are exact
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [begin, begin + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[low:high], column[low:high] - begin] = 1
+        shared += part @ part.T
+    shared = shared.astype(np.float64)
+    union = sizes[:, None] + sizes - shared
+    names, roots = frame["node"].tolist(), frame["root"].tolist()
+    top = {r: r for r in roots}
+
+    def find(r: str) -> str:
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(shared * 100.0 >= union * float(percent), 1))):
+        a, b = find(roots[i]), find(roots[j])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((names[i], names[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def _result(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
