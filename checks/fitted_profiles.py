@@ -183,9 +183,17 @@ def profile_fit_for_test(t):
     return audit.candidate_rows(fitted, coverage, SETTINGS, "test")
 
 
+_BOOSTED: dict = {}
+
+
 def boosted(t):
-    """Scores and fits of the boosted baseline over all fits of the stage."""
-    return strengthening.boosted_scores(stage(t)[2].frames, KEYS)
+    """Scores and fits of the boosted baseline over all fits of one policy, trained once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _BOOSTED:
+        own, test = _policy_rows(t)
+        scores, fits = strengthening.boosted_scores(profiles.fit_frames(cut(own, "own"), test, KEYS, 3), KEYS)
+        _BOOSTED[key] = cut(scores, "boosted-scores"), fits
+    return _BOOSTED[key]
 
 
 @check("boosted_tree_baseline")
@@ -205,8 +213,7 @@ def boosted_tree_baseline(t):
     FIT_CTES,
 )
 def boosted_tree_fits(t):
-    own, test = _policy_rows(t)
-    scores, fits = strengthening.boosted_scores(profiles.fit_frames(cut(own, "own"), test, KEYS, 3), KEYS)
+    scores, fits = boosted(t)
     scored = scores.groupBy(*KEYS, "fit").agg(F.count("score").alias("scored"))
     return fits.join(scored, [*KEYS, "fit"], "left").select(*RUN, "fit", "n", "ones", "status", F.coalesce("scored", F.lit(0)).alias("scored"))
 
