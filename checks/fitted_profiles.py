@@ -171,6 +171,40 @@ def ranker_scoring(t):
     return profiles.score_rows(frames, coefs, KEYS).select(*KEYS, "fit", "profile", "row_id", "score")
 
 
+CERTIFIED = ("prior", "uncertainty_prior", "uncertainty_support", "uncertainty_prior_support")
+
+
+@check(
+    "ranker_certificates",
+    f"""WITH f AS (SELECT model, dataset, test_run, CAST(fit AS INT) AS fit, count(*) FILTER (role = 'fit') AS rows, CAST(coalesce(sum(base_wrong) FILTER (role = 'fit'), 0) AS BIGINT) AS ones,
+                      count(*) FILTER (role = 'held') AS held FROM fc JOIN (SELECT row_id, model, dataset, test_run, base_wrong FROM fx) b USING (row_id, model, dataset, test_run) GROUP BY ALL)
+        SELECT model, dataset, test_run, fit, profile, rows, CASE WHEN ones BETWEEN 1 AND rows - 1 THEN least(5000, ones * (rows - ones)) ELSE 0 END AS pairs,
+               ones BETWEEN 1 AND rows - 1 AS fitted, ones BETWEEN 1 AND rows - 1 AS converged, CASE WHEN ones BETWEEN 1 AND rows - 1 THEN held ELSE 0 END AS scored,
+               CASE WHEN ones BETWEEN 1 AND rows - 1 THEN held ELSE 0 END AS agreeing
+        FROM f, (VALUES {", ".join(f"('{p}')" for p in CERTIFIED)}) p(profile) WHERE rows > 0""",
+    (),
+    FIT_CTES,
+)
+def ranker_certificates(t):
+    """Rows and pairs of each fit, its gradient at the coefficients, and scores recomputed term by term from them."""
+    own, test = _policy_rows(t)
+    frames = cut(profiles.fit_frames(cut(own, "own"), test, KEYS, 3), "certificate-frames")
+    chosen = [p for p in profiles.PRIMARY_PROFILES if p.name in CERTIFIED]
+    coefs = cut(profiles.fit_rankers(frames, KEYS, chosen), "certificates")
+    scores = profiles.score_rows(frames, coefs, KEYS)
+    keys = [*KEYS, "fit", "profile", "row_id"]
+    terms = frames.where("role = 'held'").join(coefs.where("slope is not null"), [*KEYS, "fit"]).select(
+        *keys, "intercept", "slope", "fill", F.posexplode("x").alias("i", "v"))
+    sums = terms.groupBy(*keys).agg(F.sum(F.get("slope", F.col("i")) * F.coalesce("v", F.get("fill", F.col("i")))).alias("s"), F.max("intercept").alias("intercept"))
+    both = scores.join(sums.select(*keys, (1 / (1 + F.exp(-F.col("s") - F.col("intercept")))).alias("again")), keys)
+    counted = both.groupBy(*KEYS, "fit", "profile").agg(
+        F.count("score").alias("scored"), F.count_if(F.abs(F.col("score") - F.col("again")) < 1e-9).alias("agreeing"))
+    return coefs.join(counted, [*KEYS, "fit", "profile"], "left").select(
+        *RUN, "fit", "profile", "rows", "pairs", F.col("slope").isNotNull().alias("fitted"),
+        (F.coalesce("converged", F.lit(False)) & (F.coalesce("gradient", F.lit(1.0)) < 1e-6)).alias("converged"),
+        F.coalesce("scored", F.lit(0)).alias("scored"), F.coalesce("agreeing", F.lit(0)).alias("agreeing"))
+
+
 @check("cross_fitted_profiles")
 def cross_fitted_profiles(t):
     states, coverage, fitted = stage(t)

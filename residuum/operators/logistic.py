@@ -23,6 +23,8 @@ from residuum.storage import cut
 LOCAL_ROWS = 100_000
 MAX_STEPS = 60
 TOLERANCE = 1.0e-9
+#: Largest ``gradient_norm`` of a fit that counts as converged.
+CONVERGED = 1.0e-6
 PLATT_C = 1.0e6
 
 
@@ -81,27 +83,38 @@ def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float) -> np.ndarray:
     return state.kept
 
 
+def gradient_norm(gradient: np.ndarray, beta: np.ndarray, weight: float, c: float) -> float:
+    """Largest entry of the objective's gradient, a unit of weight: the certificate of a fit."""
+    full = c * gradient + np.append(beta[:-1], 0.0)
+    return float(np.abs(full).max() / max(c * weight, 1e-300))
+
+
 def solve_spread(
-    rows: DataFrame, keys: Sequence[str], problems: dict[tuple, dict[str, list[int]]], c: float
+    rows: DataFrame, keys: Sequence[str], problems: dict[tuple, dict[str, list[int]]], c: float, norms: dict | None = None
 ) -> dict[tuple, dict[str, np.ndarray]]:
     """Newton fits over rows that stay where they are.
 
     ``rows``: keys, x array<double>, y, w. ``problems`` names, per key, the fits
-    and the positions of x each one uses. Only coefficients reach the driver.
+    and the positions of x each one uses. Only coefficients reach the driver. One more pass puts
+    each fit's ``gradient_norm`` at its coefficients into ``norms`` where given.
     """
     keys = list(keys)
     states = {k: {name: Newton(len(idx), c) for name, idx in fits.items()} for k, fits in problems.items()}
     sums_type = T.StructType(
         [*[rows.schema[k] for k in keys], *T.StructType.fromDDL(
-            "_name string, loss double, gradient array<double>, hessian array<double>").fields]
+            "_name string, loss double, gradient array<double>, hessian array<double>, weight double").fields]
     )
     while True:
         open_points = {
             k: {n: s.point for n, s in fits.items() if not s.done} for k, fits in states.items()
         }
         open_points = {k: v for k, v in open_points.items() if v}
-        if not open_points:
-            return {k: {n: s.kept for n, s in fits.items()} for k, fits in states.items()}
+        last = not open_points
+        if last:
+            solved = {k: {n: s.kept for n, s in fits.items()} for k, fits in states.items()}
+            if norms is None or not any(solved.values()):
+                return solved
+            open_points = {k: v for k, v in solved.items() if v}
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             totals: dict = {}
@@ -112,15 +125,26 @@ def solve_spread(
                         continue
                     x, y, w = np.stack(part["x"].to_numpy()), part["y"].to_numpy(), part["w"].to_numpy()
                     for name, point in open_points[key].items():
-                        got = curvature(x[:, problems[key][name]], y, w, point)
+                        got = (*curvature(x[:, problems[key][name]], y, w, point), float(w.sum()))
                         old = totals.get((key, name))
                         totals[(key, name)] = got if old is None else tuple(a + b for a, b in zip(old, got))
             if totals:
                 yield pd.DataFrame(
-                    [(*key, name, loss, g, h.ravel()) for (key, name), (loss, g, h) in totals.items()],
+                    [(*key, name, loss, g, h.ravel(), weight) for (key, name), (loss, g, h, weight) in totals.items()],
                     columns=sums_type.names,
                 )
 
+        if last:
+            entry = F.posexplode("gradient").alias("i", "g")
+            sums = rows.mapInPandas(partial, sums_type).select(*keys, "_name", "weight", entry)
+            for r in sums.groupBy(*keys, "_name", "i").agg(F.sum("g").alias("g"), F.sum("weight").alias("weight")).collect():
+                key, name = tuple(r[k] for k in keys), r["_name"]
+                norms.setdefault(key, {}).setdefault(name, [np.zeros(len(solved[key][name])), 0.0])[0][r["i"]] = r["g"]
+                norms[key][name][1] = r["weight"]
+            for key, fits in norms.items():
+                norms[key] = {n: gradient_norm(g, solved[key][n], weight, c) for n, (g, weight) in fits.items()}
+            return solved
+
         def merge(part: pd.DataFrame) -> pd.DataFrame:
             key, name = tuple(part[keys].iloc[0]), part["_name"].iloc[0]
             g = np.sum(np.stack(part["gradient"].to_numpy()), axis=0)

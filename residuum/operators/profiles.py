@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from residuum.functions.columns import finite, hex_draw, or_null, prior_columns, sigmoid, support_columns
 from residuum.operators.calibration import prior_label, prior_probability
-from residuum.operators.logistic import LOCAL_ROWS, fit_platt, solve, solve_spread, split_by_size
+from residuum.operators.logistic import CONVERGED, LOCAL_ROWS, curvature, fit_platt, gradient_norm, solve, solve_spread, split_by_size
 from residuum.operators.prefix import medians
 from residuum.operators.support import NATIVE_COLUMNS, fold_counts, source_count_columns
 from residuum.storage import cut
@@ -261,7 +261,10 @@ def _met(used: Sequence[int], profile: Profile) -> bool:
     return all(names.intersection(block) for block in profile.needs)
 
 
-COEF_DDL = "profile string, used array<string>, slope array<double>, fill array<double>, intercept double"
+COEF_DDL = (
+    "profile string, used array<string>, slope array<double>, fill array<double>, intercept double, "
+    "rows bigint, pairs bigint, gradient double, converged boolean"
+)
 
 
 def _coefficients(used: list[int], fill: np.ndarray, mean: np.ndarray, std: np.ndarray, beta: np.ndarray):
@@ -284,7 +287,8 @@ def fit_rankers(
     """Coefficients of every (keys, fit, profile): balanced logistic on standardised
     features plus sampled differences between wrong and right rows.
 
-    A fit whose profile lacks required evidence comes back with no ``slope``.
+    A fit whose profile lacks required evidence comes back with no ``slope``. Each row holds the fit's certificate: the rows and
+    sampled pairs it saw, its ``gradient`` norm at the coefficients a unit of weight, and whether that is small.
     """
     keys = [*keys, "fit"]
     profiles = [p for p in profiles if p.name != "uncertainty"]
@@ -306,7 +310,7 @@ def fit_rankers(
             used = _used(x, profile, min_feature_n)
             names = [FEATURES[i] for i in used]
             if not used or not _met(used, profile) or not len(ones) or not len(zeros):
-                out.append((*key, profile.name, names, None, None, None))
+                out.append((*key, profile.name, names, None, None, None, len(y), pairs, None, None))
                 continue
             part_x = x[:, used]
             fill = np.nanmedian(part_x, axis=0)
@@ -320,8 +324,10 @@ def fit_rankers(
                 stack = np.vstack([z, gap, -gap])
                 target = np.concatenate([y, np.ones(pairs), np.zeros(pairs)])
                 weight = np.concatenate([weight, np.full(2 * pairs, float(ranking_weight))])
-            beta = solve(stack, target, balanced(target, weight), 1.0)
-            out.append((*key, profile.name, names, *_coefficients(used, fill, mean, std, beta)))
+            weight = balanced(target, weight)
+            beta = solve(stack, target, weight, 1.0)
+            norm = gradient_norm(curvature(stack, target, weight, beta)[1], beta, float(weight.sum()), 1.0)
+            out.append((*key, profile.name, names, *_coefficients(used, fill, mean, std, beta), len(y), pairs, norm, norm < CONVERGED))
         return pd.DataFrame(out, columns=out_type.names)
 
     fits = small.groupBy(*keys).applyInPandas(fit, out_type)
@@ -418,6 +424,7 @@ def _fit_large(rows, keys, profiles, seed, min_feature_n, ranking_weight, max_pa
     )
     stack = cut(stack.select(*keys, "x", "y", "w"), "ranker-rows")
     problems, unused = {}, []
+    seen = lambda k: (sum(counts[k]), min(int(max_pairs), counts[k][0] * counts[k][1]) if ranking_weight > 0 else 0)
     for k, r in info.items():
         usable = [i for i in range(size) if r.n[i] >= min_feature_n and r.varies[i]]
         for p in profiles:
@@ -425,14 +432,16 @@ def _fit_large(rows, keys, profiles, seed, min_feature_n, ranking_weight, max_pa
             if used and _met(used, p) and 0 < counts[k][0] < counts[k][0] + counts[k][1]:
                 problems.setdefault(k, {})[p.name] = used
             else:
-                unused.append((*k, p.name, [FEATURES[i] for i in used], None, None, None))
-    solved = solve_spread(stack, keys, problems, 1.0)
+                unused.append((*k, p.name, [FEATURES[i] for i in used], None, None, None, *seen(k), None, None))
+    norms: dict = {}
+    solved = solve_spread(stack, keys, problems, 1.0, norms)
     done = []
     for k, fits in solved.items():
         for name, beta in fits.items():
             used = problems[k][name]
             slope, fill, intercept = _coefficients(used, fills[k][used], mean[k][used], std[k][used], beta)
-            done.append((*k, name, [FEATURES[i] for i in used], slope.tolist(), fill.tolist(), intercept))
+            norm = norms[k][name]
+            done.append((*k, name, [FEATURES[i] for i in used], slope.tolist(), fill.tolist(), intercept, *seen(k), norm, norm < CONVERGED))
     return spark.createDataFrame(done + unused, out_type)
 
 

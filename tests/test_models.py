@@ -73,6 +73,8 @@ def test_both_fit_paths_agree(spark):
         for name in near:
             assert np.abs(np.array(near[name].slope) - np.array(far[name].slope)).max() < 1e-7
             assert near[name].fill == pytest.approx(far[name].fill) and near[name].used == far[name].used
+            for one in (near[name], far[name]):
+                assert one.converged and one.gradient < 1e-6 and one.rows == n and one.pairs == min(pairs, int(y.sum() * (n - y.sum())))
 
 
 def test_fits_end_at_a_stationary_point():
