@@ -7,9 +7,10 @@ borrow alike exactly as often as their sets agree. Bins are grouped to bands, te
 band's hash meet in a bucket, and a bucket gives a star of candidate edges (its
 hub with every member), never all pairs. Every edge is confirmed on full sets.
 
-Texts with equal sets are one node. A star may miss a link between two members
-that both fail at the hub; so buckets whose members are in different components
-elect further hubs (``HUBS`` in each round). What is still mixed then is confirmed in
+Texts with equal sets are one node. In a first round each node is compared with one of its hubs only, which joins
+most groups at the cost of one set a node. A star may miss a link between two members
+that both fail at the hub; so buckets whose members are then in different components
+compare all such members with their hub, and what is still mixed is confirmed in
 cells: a bucket's members outside its largest component are cut into blocks, so is that component, and each
 block of the first meets each block of both once. A set travels once to a cell, not once to a pair; all its
 links are found there on full sets, and only those that join components leave. Before a star's full sets are
@@ -37,13 +38,14 @@ from residuum.storage import cut
 BAND_ROWS = 6
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-5
-#: Hubs that a bucket elects in each round; a bucket still mixed after the last round goes to cells.
-HUBS = (1, 4)
+#: Rounds of stars; a bucket still mixed after the last one goes to cells.
+ROUNDS = 2
 #: Bits kept of each bin for the estimate that rules out pairs, and its one-sided bound in standard deviations.
 PLANES = 4
 BOUND = 4.3
 #: Nodes up to which their ids are sent to every task (16 bytes each); more are joined by a shuffle.
 SENT_IDS = 1_000_000
+SENT_NAMES = 500_000
 #: Members of one hub verified in one slice.
 SLICE = 500
 #: Members and shingles of one block of a cell (about), and shingles compared side by side.
@@ -171,19 +173,21 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     which gets the hub's set once, so no task waits for one hub.
     """
     degree = pairs.groupBy("hub").agg(F.count("*").alias("degree"))
-    slices = degree.withColumn("slice", F.explode(F.sequence(F.lit(0), F.floor(F.col("degree") / SLICE).cast("int"))))
-    hubs = slices.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "slice", F.col("degree"), F.col("shingles").alias("hub_shingles"))
-    dealt = (
-        pairs.join(degree, "hub")
-        .withColumn("slice", F.pmod(F.xxhash64("node"), F.floor(F.col("degree") / SLICE).cast("int") + 1).cast("int"))
-        .select("hub", "node", "slice")
-    )
-    members = dealt.join(sets, "node")
-    return members.join(hubs.drop("degree"), ["hub", "slice"]).select(
+    slices = degree.select("hub", F.explode(F.sequence(F.lit(0), F.floor(F.col("degree") / SLICE).cast("int"))).alias("slice"))
+    dealt = pairs.join(degree, "hub").select(
+        "hub", "node", F.pmod(F.xxhash64("node"), F.floor(F.col("degree") / SLICE).cast("int") + 1).cast("int").alias("slice"))
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")).join(sent(cut(slices, "slices")), "hub")
+    members = sets.join(sent(cut(dealt, "dealt")), "node")
+    return members.join(hubs, ["hub", "slice"]).select(
         "hub", "node", F.size(F.array_intersect("shingles", "hub_shingles")).cast("long").alias("shared")
     )
 
 
+def sent(names: DataFrame) -> DataFrame:
+    """A written table of names: sent to the tasks up to ``SENT_NAMES`` rows (a hundred bytes each), joined by a shuffle beyond."""
+    return F.broadcast(names) if names.count() <= SENT_NAMES else names
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 85, rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -204,11 +208,13 @@ def near_duplicates(
         .agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")),
         "nodes",
     )
-    exploded = nodes.select(
-        "node", "n_shingles", "copies", F.coalesce("low", F.lit((1 << 63) - 1)).alias("rank"), F.posexplode("bands").alias("band", "mark")
-    ).select("node", "n_shingles", "copies", "rank", "band", F.xxhash64("band", "mark").alias("bucket"))
+    # only names travel until it is known which buckets have two members
+    exploded = nodes.select(F.unhex("node").alias("name"), F.posexplode("bands").alias("band", "mark"))
+    exploded = exploded.select("name", F.xxhash64("band", "mark").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = cut(exploded.join(shared.select("bucket"), "bucket"), "buckets")
+    met = cut(exploded.join(shared.select("bucket"), "bucket").select(F.lower(F.hex("name")).alias("node"), "bucket"), "met")
+    about = nodes.select("node", "n_shingles", "copies", F.coalesce("low", F.lit((1 << 63) - 1)).alias("rank"))
+    members = cut(met.join(about, "node"), "buckets")
 
     wanted = members.select("node").distinct()
     ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("low").alias(id_col)).distinct(), "wanted")
@@ -225,18 +231,21 @@ def near_duplicates(
     tested = _measured(
         spark.createDataFrame([], "hub string, node string, shared long, n_shingles long, hub_size long"), percent
     )
-    open_members, used, roots = members.withColumn("root", F.col("node")), None, None
-    for rounds, many in enumerate(HUBS):
-        choice = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(many))
+    open_members, roots = members.withColumn("root", F.col("node")), None
+    for rounds in range(ROUNDS):
         hubs = cut(
-            open_members.groupBy("bucket", choice.alias("choice"))
-            .agg(F.min(F.struct(-F.col("copies"), "rank", "node", "n_shingles", "root")).alias("h"))
-            .select("bucket", F.col("h.node").alias("hub"), F.col("h.n_shingles").alias("hub_size"), F.col("h.root").alias("hub_root")),
+            open_members.groupBy("bucket")
+            .agg(F.min(F.struct((-F.col("copies")).alias("c"), "rank", "node", "n_shingles", "root")).alias("h"))
+            .select("bucket", F.struct("h.c", "h.rank", "h.node").alias("order"), F.col("h.node").alias("hub"),
+                    F.col("h.n_shingles").alias("hub_size"), F.col("h.root").alias("hub_root")),
             "hubs",
         )
         pairs = open_members.join(hubs, "bucket").where((F.col("hub_root") != F.col("root")) & fits)
-        pairs = pairs.select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b"), "hub", "node")
-        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"), F.min_by("node", "hub").alias("node")).select("hub", "node")
+        if rounds == 0:  # of a node's hubs the first by the order that elects them, so that buckets of one group agree
+            pairs = pairs.groupBy("node").agg(F.min("order").alias("h")).select(F.col("h.node").alias("hub"), "node")
+        else:
+            pairs = pairs.select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b"), "hub", "node")
+            pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"), F.min_by("node", "hub").alias("node")).select("hub", "node")
         pairs = cut(_possible(_untested(pairs, tested) if rounds else pairs, bits, bins, percent), "pairs")
         found = _sized(verify(pairs, sets), size)
         tested = _measured(cut(tested.select(*found.columns).unionByName(found), "tested"), percent)
@@ -244,13 +253,10 @@ def near_duplicates(
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = cut(components(links), "roots")
-        spent = hubs.select("bucket", F.col("hub").alias("node"), F.lit(rounds).alias("round"))
-        used = cut(spent if used is None else used.unionByName(spent), "used")
-        # a hub has met all members of its bucket; only the others may have untested pairs
-        now = (
-            (members if rounds == 0 else open_members.drop("root")).join(used, ["bucket", "node"], "left_anti")
-            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        )
+        now = members if rounds == 0 else open_members.drop("root")
+        if rounds:  # a hub has met all members of its bucket; only the others may have untested pairs
+            now = now.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
         open_members = cut(now.join(mixed, "bucket"), "open")
         if open_members.isEmpty():
@@ -289,30 +295,48 @@ def _possible(pairs: DataFrame, bits: DataFrame, bins: int, percent: int) -> Dat
 def in_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between members (bucket, node, n_shingles, root) of one bucket and different roots, enough to join all that are linked.
 
-    The members outside a bucket's largest component (side 0) and those inside (side 1) are dealt to blocks by a hash.
-    Every block of side 0 shares a cell with each block of either side, so no pair is left out. A bucket with one large component
-    and few members outside costs in proportion to its size.
+    The members outside a bucket's largest component and those inside are dealt to blocks by a hash. Every block outside
+    shares a cell with each block of either side, so no pair is left out. A bucket with one large component
+    and few members outside costs in proportion to its size. Buckets around the same component become one region where that takes
+    fewer sets than their own cells would (a node is in many buckets of its group).
     """
-    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "weight")).alias("m"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-    blocks = lambda n, weight: F.greatest(F.ceil(n / CELL), F.ceil(weight / CELL_SHINGLES), F.lit(1)).cast("int")
-    about = most.select(
-        "bucket", F.col("m.root").alias("main"), blocks(F.col("n") - F.col("m.n"), F.col("weight") - F.col("m.weight")).alias("outside"),
-        blocks(F.col("m.n"), F.col("m.weight")).alias("inside"))
-    dealt = members.join(about, "bucket").withColumn("side", (F.col("root") == F.col("main")).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("side") == 1, F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    largest = _largest(members, "bucket")
+    placed = members.join(largest.select("bucket", "main", "cost"), "bucket").withColumn("inside", F.col("root") == F.col("main"))
+    once = placed.groupBy("main", "node").agg(F.any_value("root").alias("root"), F.any_value("n_shingles").alias("n_shingles"))
+    whole = _largest(once.withColumn("bucket", F.col("main")), "bucket", main=True).select("main", F.col("cost").alias("whole_cost"))
+    costs = largest.groupBy("main").agg(F.sum("cost").alias("cost")).join(whole, "main")
+    merged = costs.where("whole_cost <= cost").select("main", F.lit(True).alias("merged"))
+    region = F.when(F.col("merged"), F.xxhash64("main", F.lit(11))).otherwise(F.xxhash64("bucket", F.lit(12)))
+    dealt = placed.drop("cost").join(merged, "main", "left").select(region.alias("region"), "main", "node", "root", "n_shingles").distinct()
+    dealt = dealt.join(_largest(dealt, "region", main=True).select("region", "outside", "within"), "region")
+    side = F.col("root") == F.col("main")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.when(side, F.col("within")).otherwise(F.col("outside"))).cast("int"))
     numbers = lambda n: F.sequence(F.lit(0), n - 1)
-    cell = lambda low, side, high: F.xxhash64(F.col("bucket"), low.cast("int"), F.lit(side), high.cast("int"))
-    with_main = F.transform(numbers(F.col("inside")), lambda j: cell(F.col("block"), 1, j))
+    cell = lambda low, kind, high: F.xxhash64(F.col("region"), low.cast("int"), F.lit(kind), high.cast("int"))
+    with_main = F.transform(numbers(F.col("within")), lambda j: cell(F.col("block"), 1, j))
     with_others = F.transform(numbers(F.col("outside")), lambda j: cell(F.least("block", j), 0, F.greatest("block", j)))
     inner = F.transform(numbers(F.col("outside")), lambda i: cell(i, 1, F.col("block")))
-    cells = dealt.select("node", "root", F.when(F.col("side") == 1, inner).otherwise(F.concat(with_main, with_others)).alias("cells"))
-    by_node = cells.groupBy("node").agg(F.any_value("root").alias("root"), F.flatten(F.collect_list("cells")).alias("cells"))
-    rows = by_node.join(sets, "node").select(F.explode("cells").alias("cell"), "node", "root", "shingles")
-    return rows.groupBy("cell").applyInPandas(lambda frame: _joined(frame, percent), "a string, b string")
+    cells = dealt.select("node", "root", F.when(side, inner).otherwise(F.concat(with_main, with_others)).alias("cells"))
+    by_node = cut(cells.groupBy("node").agg(F.any_value("root").alias("root"), F.flatten(F.collect_list("cells")).alias("cells")), "cells")
+    rows = sets.join(sent(by_node), "node").select(F.explode("cells").alias("cell"), "node", "root", "shingles")
+    columns = COLUMNS
+    return rows.groupBy("cell").applyInPandas(lambda frame: _joined(frame, percent, columns), "a string, b string")
+
+
+def _largest(members: DataFrame, place: str, main: bool = False) -> DataFrame:
+    """(place, main, outside, within, cost): a place's largest root (or the given ``main``), blocks of both sides, and sets that its cells take."""
+    sizes = members.groupBy(place, *(["main"] if main else []), "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    chosen = F.max(F.when(F.col("root") == F.col("main"), F.struct("n", "root", "weight"))) if main else F.max(F.struct("n", "root", "weight"))
+    most = sizes.groupBy(place, *(["main"] if main else [])).agg(chosen.alias("m"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / CELL), F.ceil(weight / CELL_SHINGLES), F.lit(1)).cast("int")
+    out, within = F.col("n") - F.col("m.n"), F.col("m.n")
+    most = most.select(
+        place, F.col("m.root").alias("main") if not main else F.col("main"), out.alias("out_n"), within.alias("in_n"),
+        blocks(out, F.col("weight") - F.col("m.weight")).alias("outside"), blocks(within, F.col("m.weight")).alias("within"))
+    return most.withColumn("cost", F.col("in_n") * F.col("outside") + F.col("out_n") * (F.col("outside") + F.col("within")))
 
 
-def _joined(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _joined(frame: pd.DataFrame, percent: int, columns: int) -> pd.DataFrame:
     """Links of one cell that join different components."""
     frame = frame.sort_values("node").drop_duplicates("node")
     sets = frame["shingles"].tolist()
@@ -324,9 +348,9 @@ def _joined(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     shared = np.zeros((n, n), np.float32)  # whole numbers below 2 ** 24 are exact
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        low, high = np.searchsorted(column, [begin, begin + COLUMNS])
-        part = np.zeros((n, COLUMNS), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        low, high = np.searchsorted(column, [begin, begin + columns])
+        part = np.zeros((n, columns), np.float32)
         part[owner[low:high], column[low:high] - begin] = 1
         shared += part @ part.T
     shared = shared.astype(np.float64)
