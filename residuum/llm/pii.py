@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from residuum.llm.quality_rules import let
 from residuum.llm.spans import digits, luhn, overlaps, spans
-from residuum.llm.trees import Ensemble, bounded, fit_boosted, thresholds
+from residuum.llm.trees import Ensemble, few_files, fit_boosted, thresholds
 from residuum.storage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,18 +130,22 @@ def _spotted(docs: DataFrame, text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None,
           max_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> tuple[Ensemble, dict[str, float]]:
-    """Trees and thresholds from the candidates of about ``max_docs`` texts.
+    """Trees and thresholds from the candidates of all texts; about ``max_docs`` texts fit the trees, the thresholds cover all.
 
-    ``labelled`` (kind_no, the features, y) replaces the labels made from the checks.
+    ``labelled`` (kind_no, the features, y) replaces the labels made from the checks. Null and empty texts have no candidate,
+    repeated rows count each; without candidates no kind adds spans.
     """
+    sample = labelled
     if labelled is None:
-        some = _spotted(bounded(docs.select(id_col, text_col), id_col, max_docs), text_col)
+        total = docs.count()
+        part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(29)), F.lit(1_000_000)) * F.lit(float(total)) <= 1_000_000.0 * max_docs
+        some = _spotted(docs.select(part.alias("drawn"), text_col), text_col)
         good = F.transform("_base", lambda s: F.struct(s["kind_no"].alias("kind_no"), features(F.col("_text"), s["kind_no"], s).alias("f"), F.lit(1.0).alias("y")))
         bad = F.transform(F.filter("_other", lambda s: s["strict"]), lambda s: F.struct(s["kind_no"].alias("kind_no"), features(F.col("_text"), s["kind_no"], s).alias("f"), F.lit(0.0).alias("y")))
-        rows = some.where((F.size("_base") > 0) | (F.size("_other") > 0)).select(F.explode(F.concat(good, bad)).alias("c"))
-        labelled = rows.select("c.kind_no", "c.y", *[F.get("c.f", F.lit(i)).alias(f) for i, f in enumerate(FEATURES) if f != "kind_no"])
-    labelled = cut(labelled.coalesce(6), "pii-train")
-    model = fit_boosted(labelled, FEATURES, "y")
+        rows = some.where((F.size("_base") > 0) | (F.size("_other") > 0)).select("drawn", F.explode(F.concat(good, bad)).alias("c"))
+        labelled = cut(rows.select("drawn", "c.kind_no", "c.y", *[F.get("c.f", F.lit(i)).alias(f) for i, f in enumerate(FEATURES) if f != "kind_no"]), "pii-train")
+        sample = labelled.where("drawn").drop("drawn")
+    model = fit_boosted(few_files(sample, "pii-sample"), FEATURES, "y")
     scored = labelled.select(
         F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind_no").cast("int")).alias("kind"), "y", model.score(lambda i: F.col(FEATURES[i])).alias("score")
     )

@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.llm.frequent import most_frequent
 from residuum.llm.quality_rules import let
 from residuum.llm.spans import spans
-from residuum.llm.trees import Ensemble, bounded, fit_forest
+from residuum.llm.trees import Ensemble, bounded, few_files, fit_forest
 from residuum.storage import cut
 
 #: Documents whose candidates train the forest, words of the dictionary, and votes from which a candidate is a secret.
@@ -66,15 +67,21 @@ def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
     return named.withColumn("_found", F.filter("_found", lambda s: s["value"].rlike("[0-9]|[a-z][A-Z]")))
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> list[str]:
-    """The ``size`` most frequent words of three or more letters in about ``max_docs`` texts: a fixed bound."""
-    some = bounded(docs.select(id_col, text_col), id_col, max_docs)
-    words = some.select(F.explode(F.split(F.lower(F.col(text_col)), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
-    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
+def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
+    """The ``size`` most frequent words of three or more letters over all texts; of equal counts, some by a hash.
+
+    Null and empty texts add nothing, repeated rows count each; an empty table gives no word. Other columns are ignored.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
+    counts = cut(words.groupBy("w").agg(F.count("*").alias("n")), "dictionary")
+    return sorted(r["w"] for r in most_frequent(counts, "n", size, split=True).collect())
 
 
 def train(docs: DataFrame, words: list[str], findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Ensemble:
-    """The forest, from ``findings`` (value, y) where given, else from the fixed forms, in about ``max_docs`` texts."""
+    """The forest, from ``findings`` (value, y) where given, else from the fixed forms, in about ``max_docs`` texts.
+
+    Null and empty texts have no candidate, repeated rows count each; with one label, or no row, the votes are constant.
+    """
     some = _candidates(bounded(docs.select(id_col, text_col), id_col, max_docs), text_col)
     listed = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     rows = some.where(F.size("_found") > 0).select(F.explode(F.transform("_found", lambda s: F.struct(
@@ -83,7 +90,7 @@ def train(docs: DataFrame, words: list[str], findings: DataFrame | None = None,
         rows = rows.withColumn("y", F.when(F.col("value").rlike(KNOWN), 1.0).when(F.col("value").rlike(HARMLESS), 0.0)).where("y IS NOT NULL")
     else:
         rows = rows.join(findings.groupBy("value").agg(F.max("y").cast("double").alias("y")), "value")
-    sample = cut(rows.select("y", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)]).coalesce(6), "findings")
+    sample = few_files(rows.select("y", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)]), "findings")
     return fit_forest(sample, FEATURES, "y")
 
 

@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.storage import cut
+
 _SPLIT = re.compile(r"If \(feature (\d+) <= (-?[\d.eE+-]+)\)")
 _LEAF = re.compile(r"Predict: (-?[\d.eE+-]+)")
 
@@ -103,13 +105,17 @@ def thresholds(scored: DataFrame, kinds: Sequence[str], precision: float, steps:
         best = 2.0
         for cell, a, b in sorted(by.get(kind, []), reverse=True):
             ones, n = ones + a, n + b
-            if ones < precision * n:
-                break
-            best = cell / steps
+            if ones >= precision * n:
+                best = cell / steps
         out[kind] = best
     return out
 
 
+def few_files(rows: DataFrame, label: str) -> DataFrame:
+    """The rows of a bounded sample: computed and written at full width, then read into few partitions."""
+    return cut(rows, label).coalesce(6)
+
+
 def bounded(frame: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows of ``frame``, chosen by a hash of ``key``; all of a smaller table. For training only."""
     n = frame.count()

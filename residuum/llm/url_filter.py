@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.quality_rules import let
-from residuum.llm.trees import Ensemble, bounded, fit_boosted
+from residuum.llm.trees import Ensemble, bounded, few_files, fit_boosted
 from residuum.storage import cut
 
 #: Labelled URLs used for training, and hash cells of each suffix statistic.
@@ -115,11 +115,10 @@ class Model:
 def train(labelled: DataFrame, url_col: str = "url", max_rows: int = TRAIN_URLS) -> Model:
     """Trees and suffix statistics from labelled URLs: columns ``url_col`` and y (1 blocks).
 
-    About ``max_rows`` URLs are used, all of a smaller table. With one label, or no
-    row, the score is a constant (0.018 if there is nothing to block).
+    The statistics cover all labelled URLs; about ``max_rows`` of them, all of a smaller table, fit the trees. With one label, or no
+    row, the score is a constant (0.018 if there is nothing to block). Null URLs are empty; repeated rows count each.
     """
-    some = bounded(labelled.where(F.col("y").isNotNull()), url_col, max_rows)
-    rows = cut(lexical(some, url_col).coalesce(6), "urls")
+    rows = cut(lexical(labelled.where(F.col("y").isNotNull()), url_col), "urls")
     share = rows.agg(F.avg("y")).first()[0] or 0.0
 
     def rates(cell: str) -> list[float]:
@@ -130,9 +129,10 @@ def train(labelled: DataFrame, url_col: str = "url", max_rows: int = TRAIN_URLS)
 
     model = Model(Ensemble([], True), rates("_suffix"), rates("_part"))
     lookup = lambda table, cell: F.get(F.array(*[F.lit(float(v)) for v in table]), F.col(cell))
-    sample = rows.select("y", *[F.col("_" + f).alias(f) for f in FEATURES if not f.endswith("_rate")],
+    some = bounded(rows, url_col, max_rows)
+    sample = some.select("y", *[F.col("_" + f).alias(f) for f in FEATURES if not f.endswith("_rate")],
                          lookup(model.suffix_rate, "_suffix").alias("suffix_rate"), lookup(model.part_rate, "_part").alias("part_rate"))
-    model.trees = fit_boosted(sample, FEATURES, "y")
+    model.trees = fit_boosted(few_files(sample, "url-sample"), FEATURES, "y")
     return model
 
 
