@@ -7,9 +7,10 @@ class of its form (its ending), inside which it has its smoothed share of the
 counts. So each word of any vocabulary has a probability and they sum to one.
 
 Weights start from the log counts and are trained by truncated backpropagation
-in Spark tasks: all training texts are dealt to shards, every
+in Spark tasks: all training texts are dealt to shards by a hash of their text, every
 shard trains from the same weights, and their weights are averaged, ``ROUNDS``
-times. Scoring runs many texts side by side, in windows, and carries each text's
+times. A step touches only the input rows and classes of its tokens. Shards, their
+order and the order of merging do not depend on how the input is packed. Scoring runs many texts side by side, in windows, and carries each text's
 state from window to window, so a text of any length is scored whole. The
 ``HEAD`` most frequent words are sent to every task with their counts (a fixed
 bound); rarer words leave the task as rows and get their counts by a join.
@@ -40,12 +41,15 @@ CLASS_SIZE = 64
 FORMS = 16
 HIDDEN = 24
 #: Texts of a shard at least, and shards at most.
-SHARD_DOCS, SHARDS = 400, 1024
-ROUNDS = 2
-LANES, WINDOW = 64, 16
-#: Tokens a shard trains on in one go, tokens scored side by side in one go, counted words held, steps between two softmax passes.
-TRAIN_TOKENS = 1_000_000
+SHARD_DOCS, SHARDS = 2000, 1024
+ROUNDS = 1
+#: Streams side by side at most, steps of a window, and updates a shard should make at least (fewer streams give more).
+LANES, WINDOW, UPDATES = 512, 16, 150
+RATE = 0.01
+#: Tokens a shard trains on in one go, tokens scored side by side in one go, rows and steps between two softmax passes, counted words held.
+TRAIN_TOKENS = 1_500_000
 GO_TOKENS = 3_000_000
+HELD_ROWS = 200_000
 TASK_WORDS = 300_000
 STEPS = 32
 END = b""  # the end of a text; no word is empty
@@ -162,23 +166,52 @@ def _rows(v: Vocabulary, ids: np.ndarray, forms: np.ndarray) -> np.ndarray:
     return np.where(ids < 0, limit - 1 - ids, out)
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[starts], np.add.reduceat(values[order], starts, axis=0)
+
+
+class Steps:
+    """Adam over the touched parts of the weights."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.t = p, rate, 0
+        self.first, self.second = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+
+    def __call__(self, grads: dict[str, tuple[np.ndarray | None, np.ndarray]]) -> None:
+        """``grads``: rows touched (None: all) and their gradients, which are scaled to a norm of at most one."""
+        self.t += 1
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for _, g in grads.values()))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        step = np.float32(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        for key, (rows, g) in grads.items():
+            at = slice(None) if rows is None else rows
+            g = g * scale
+            m = self.first[key][at]
+            m = m + np.float32(0.1) * (g - m)
+            q = self.second[key][at]
+            q = q + np.float32(0.01) * (g * g - q)
+            self.first[key][at], self.second[key][at] = m, q
+            self.p[key][at] -= step * m / (np.sqrt(q) + np.float32(1e-7))
+
+
 def train_shard(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarray], rate: float) -> Net:
     """One pass of truncated backpropagation over the texts, ``LANES`` streams side by side; a text's end clears the state."""
     limit, end_row = v.classes * CLASS_SIZE, int(_rows(v, np.array([v.index.get(END, -1 - form(END))]), forms)[0])
     stream = np.concatenate([_rows(v, d, forms) for d in docs]) if docs else np.zeros(0, np.int64)
-    lanes = max(1, min(LANES, len(stream) // WINDOW))
+    lanes = max(1, min(LANES, len(stream) // (WINDOW * UPDATES), len(stream) // WINDOW))
     length = len(stream) // lanes
     if not length:
         return net
     data = stream[: lanes * length].reshape(lanes, length)
     p = {k: a.copy() for k, a in net.p.items()}
-    net = Net(p)
-    first, second = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+    net, update = Net(p), Steps(p, rate)
     h, before, k = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, end_row), HIDDEN
-    t = 0
     for start in range(0, length, WINDOW):
         part = data[:, start : start + WINDOW]
-        t += 1
         kept, hs = [], []
         for j in range(part.shape[1]):
             clear = (before != end_row)[:, None].astype(np.float32)
@@ -188,49 +221,51 @@ def train_shard(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarra
             hs.append(h)
             before = part[:, j]
         hidden, target = np.concatenate(hs), part.T.reshape(-1)
-        size = len(target)
+        size = np.float32(len(target))
         c = np.where(target < limit, target // CLASS_SIZE, v.classes + target - limit)
         logits = hidden @ p["c"] + p["cb"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d = e / e.sum(axis=1, keepdims=True)
-        d[np.arange(size), c] -= 1
+        d = np.exp(logits - logits.max(axis=1, keepdims=True))
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(len(c)), c] -= 1
         d /= size
-        g = {key: np.zeros_like(a) for key, a in p.items()}
-        g["c"], g["cb"] = hidden.T @ d, d.sum(axis=0)
+        grads: dict = {"c": (None, hidden.T @ d), "cb": (None, d.sum(axis=0))}
         dh = d @ p["c"].T
         order = np.argsort(c, kind="stable")
         ends = np.searchsorted(c[order], np.arange(v.classes + 1))
-        for q in range(v.classes):
+        touched = np.flatnonzero(np.diff(ends))
+        gw, gwb = np.zeros((len(touched), k, CLASS_SIZE), np.float32), np.zeros((len(touched), CLASS_SIZE), np.float32)
+        for i, q in enumerate(touched):
             rows = order[ends[q] : ends[q + 1]]
-            if len(rows):
-                inner = hidden[rows] @ p["w"][q] + p["wb"][q]
-                e = np.exp(inner - inner.max(axis=1, keepdims=True))
-                d = e / e.sum(axis=1, keepdims=True)
-                d[np.arange(len(rows)), target[rows] - q * CLASS_SIZE] -= 1
-                d /= size
-                g["w"][q], g["wb"][q] = hidden[rows].T @ d, d.sum(axis=0)
-                dh[rows] += d @ p["w"][q].T
+            own = hidden[rows]
+            d = own @ p["w"][q] + p["wb"][q]
+            d -= d.max(axis=1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(axis=1, keepdims=True)
+            d[np.arange(len(rows)), target[rows] - q * CLASS_SIZE] -= 1
+            d /= size
+            gw[i], gwb[i] = own.T @ d, d.sum(axis=0)
+            dh[rows] += d @ p["w"][q].T
+        if len(touched):
+            grads["w"], grads["wb"] = (touched, gw), (touched, gwb)
         carry = np.zeros((lanes, k), np.float32)
+        gb, gu = np.zeros(3 * k, np.float32), np.zeros((k, 3 * k), np.float32)
+        dxs = np.empty((part.shape[1], lanes, 3 * k), np.float32)
         for j in range(part.shape[1] - 1, -1, -1):
-            rows, h0, z, r, n, gn, clear = kept[j]
+            _, h0, z, r, n, gn, clear = kept[j]
             dy = dh[j * lanes : (j + 1) * lanes] + carry
             dn = dy * (1 - z) * (1 - n * n)
-            dz = dy * (h0 - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            np.add.at(g["x"], rows, dx)
-            g["b"] += dx.sum(axis=0)
-            g["u"] += h0.T @ dg
+            dx = dxs[j]
+            dx[:, :k] = dy * (h0 - n) * z * (1 - z)
+            dx[:, k : 2 * k] = dn * gn * r * (1 - r)
+            dx[:, 2 * k :] = dn
+            dg = dx.copy()
+            dg[:, 2 * k :] *= r
+            gb += dx.sum(axis=0)
+            gu += h0.T @ dg
             carry = (dy * z + dg @ p["u"].T) * clear
-        norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        step = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        for key, a in p.items():
-            grad = g[key] * scale
-            first[key] += 0.1 * (grad - first[key])
-            second[key] += 0.01 * (grad * grad - second[key])
-            a -= step * first[key] / (np.sqrt(second[key]) + 1e-7)
+        grads["b"], grads["u"] = (None, gb), (None, gu)
+        grads["x"] = _by_row(np.concatenate([item[0] for item in kept]), dxs.reshape(-1, 3 * k))
+        update(grads)
     return net
 
 
@@ -258,7 +293,7 @@ def score_tokens(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarr
             hidden.append(h), target.append(before), owner.append(np.arange(active))
             held += active
             t += 1
-            if held > 200_000:
+            if held > HELD_ROWS:
                 break
         value = net.log_likelihood(np.concatenate(hidden), np.concatenate(target), v.classes)
         total += np.bincount(np.concatenate(owner), weights=value, minlength=len(docs))
@@ -269,7 +304,7 @@ def score_tokens(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarr
 
 def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, np.ndarray, Net]:
     """Vocabulary, form of each head word and trained weights. ``docs`` are the training texts, ``counts`` their words."""
-    head = sorted(most_frequent(counts, "c", HEAD).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    head = sorted(most_frequent(counts, "c", HEAD, split=True).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     index = {bytes(r["word"]): i for i, r in enumerate(head)}
     forms = np.array([form(w) for w in index] or [0], np.int64)
     softmax = min(SOFTMAX, len(index))
@@ -293,37 +328,50 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str
     net = Net.start(v, forms)
     n = docs.count()
     shards = max(1, min(SHARDS, n // SHARD_DOCS))
-    every = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = cut(every.repartition(shards), "lm-train")
+    every = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("place", F.xxhash64("text", "id"))
+    every = every.withColumn("shard", F.pmod("place", F.lit(shards)))
+    every = cut(every.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "text"), "lm-train")
     spark = docs.sparkSession
     for turn in range(ROUNDS):
         state = spark.sparkContext.broadcast((net, v, forms))
 
-        def run(batches: Iterator[pd.DataFrame], state=state, turn=turn) -> Iterator[pd.DataFrame]:
-            net, v, forms = state.value
-            docs_, held, seen = [], 0, 0
+        def run(batches: Iterator[pa.RecordBatch], state=state, turn=turn) -> Iterator[pa.RecordBatch]:
+            start, v, forms = state.value
+            own, net, docs_, held, seen = None, start, [], 0, 0
+
+            def learned() -> None:
+                nonlocal net, docs_, held, seen
+                net = train_shard(net, v, forms, docs_, RATE / (1 + turn))
+                docs_, held, seen = [], 0, seen + held
+
+            def out() -> pa.RecordBatch:
+                learned()
+                return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([float(seen)]), pa.array([pickle.dumps(net.p)], pa.binary())], ["part", "weight", "net"])
+
             for b in batches:
-                for t in b["text"]:
-                    docs_.append(v.tokens((t or "").encode())[0])
+                for shard, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                    if shard != own:
+                        if own is not None:
+                            yield out()
+                        own, net, docs_, held, seen = shard, start, [], 0, 0
+                    docs_.append(v.tokens(t)[0])
                     held += len(docs_[-1])
                     if held > TRAIN_TOKENS:
-                        net = train_shard(net, v, forms, docs_, 0.01 / (1 + turn))
-                        docs_, held, seen = [], 0, seen + held
-            if docs_:
-                net = train_shard(net, v, forms, docs_, 0.01 / (1 + turn))
-            if seen + held:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "weight": [float(seen + held)], "net": [pickle.dumps(net.p)]})
+                        learned()
+            if own is not None:
+                yield out()
 
         def merge(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("part")
             weight = frame["weight"].sum()
             out = None
             for w, blob in zip(frame["weight"], frame["net"]):
                 own = {k: a * np.float32(w / weight) for k, a in pickle.loads(blob).items()}
                 out = own if out is None else {k: out[k] + own[k] for k in out}
-            return pd.DataFrame({"part": [0], "weight": [weight], "net": [pickle.dumps(out)]})
+            return pd.DataFrame({"part": [frame["part"].iloc[0]], "weight": [weight], "net": [pickle.dumps(out)]})
 
         schema = "part long, weight double, net binary"
-        parts = cut(every.mapInPandas(run, schema), "lm-weights")
+        parts = cut(every.mapInArrow(run, schema), "lm-weights")
         merged = parts.groupBy(F.pmod("part", F.lit(32)).alias("k")).applyInPandas(lambda f: merge(f), schema)
         last = merged.groupBy(F.lit(0).alias("k")).applyInPandas(lambda f: merge(f), schema).collect()
         if last:
