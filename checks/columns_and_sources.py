@@ -31,35 +31,53 @@ def audit_table_scan(t):
 
 @check(
     "prediction_file_scan",
-    """SELECT model, dataset, test_run, split, dr_id, pr_id, label, p_base, s_prior, base_wrong, count(*) AS n FROM base GROUP BY ALL""",
+    """SELECT model, dataset, test_run, split, dr_id, pr_id, label, p_base, s_prior, base_wrong,
+              row_number() OVER (PARTITION BY model, dataset, test_run ORDER BY split, row_id) - 1 AS row_id FROM base""",
     ["label", "p_base", "s_prior", "base_wrong"],
 )
 def prediction_file_scan(t):
-    """All predictions written as files of runs and read again from their paths."""
+    """All predictions written as one file a run and read again from their paths, with the place of each line."""
     path = f"{shared_folder(t.spark)}/prediction-files-{uuid.uuid4().hex}"
     names = [part.split() for part in scans.AUDIT_SCHEMA.split(", ")]
     rows = t.base().withColumns({"phase": F.col("split"), "split": F.lit("source")})
     filled = [F.col(n).cast(kind).alias(n) if n in rows.columns else F.lit(None).cast(kind).alias(n) for n, kind in names]
+    rows = rows.repartition(*RUN).sortWithinPartitions(*RUN, "phase", "row_id")
     rows.select(*RUN, *filled).write.partitionBy(*RUN).option("header", True).csv(path)
-    return scans.read_predictions(t.spark, path).groupBy(
-        *RUN, "split", "dr_id", "pr_id", "label", "p_base", "s_prior", "base_wrong").agg(F.count("*").alias("n"))
+    return scans.read_predictions(t.spark, path).select(
+        *RUN, "split", "dr_id", "pr_id", "label", "p_base", "s_prior", "base_wrong", "row_id")
 
 
 @check(
     "related_split_files",
-    """SELECT dr_id, pr_id, nullif(drug_cluster, '') AS drug_cluster, target_cluster, '' AS file_order, count(*) AS n FROM train GROUP BY ALL
-       UNION ALL SELECT dr_id, pr_id, NULL, NULL, 'later_with_id.csv', count(*) FROM train GROUP BY ALL""",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY CAST(dr_id AS BIGINT) % 4 ORDER BY row_id, dr_id, pr_id) - 1 AS place FROM train)
+       SELECT dr_id, pr_id, nullif(drug_cluster, '') AS drug_cluster, target_cluster, '' AS file_order, place AS row_id FROM n
+       UNION ALL SELECT dr_id, pr_id, NULL, NULL, 'later_with_id.csv', place FROM n""",
 )
 def related_split_files(t):
-    """Source rows as two files whose headers differ, read each by its own."""
+    """Source rows as files of two headers, found below a folder and read by their own headers with the place of each line."""
     folder = f"{shared_folder(t.spark)}/split-files-{uuid.uuid4().hex}"
-    rows = t.train()
+    rows = t.train().withColumn("bucket", F.pmod(F.col("dr_id").cast("bigint"), F.lit(4)))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "row_id", "dr_id", "pr_id")
     for name, columns in (("train", ["dr_id", "pr_id", "drug_cluster", "target_cluster"]), ("later", ["pr_id", "dr_id"])):
-        rows.select(*columns).write.option("header", True).csv(f"{folder}/{name}_with_id.csv")
-    order = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
-    parts = [scans.read_split_file(t.spark, f"{folder}/{name}_with_id.csv", F.when(order == "train_with_id.csv", "").otherwise(order)) for name in ("train", "later")]
-    read = parts[0].unionByName(parts[1])
-    return read.groupBy("dr_id", "pr_id", "drug_cluster", "target_cluster", "file_order").agg(F.count("*").alias("n"))
+        rows.select(*columns, "bucket").write.partitionBy("bucket").option("header", True).csv(f"{folder}/{name}_with_id.csv")
+    return scans.read_related_splits(t.spark, folder, "train_with_id.csv", pattern="*.csv", depth=3)
+
+
+@check(
+    "rejected_split_files",
+    """SELECT 'empty_file' AS reason, count(DISTINCT CAST(dr_id AS BIGINT) % 4) AS files FROM train
+       UNION ALL SELECT 'no_source_column', count(DISTINCT CAST(dr_id AS BIGINT) % 4) FROM train
+       UNION ALL SELECT 'read', count(DISTINCT CAST(dr_id AS BIGINT) % 4) FROM train""",
+)
+def rejected_split_files(t):
+    """Files below a folder by why they give no rows."""
+    folder = f"{shared_folder(t.spark)}/reject-files-{uuid.uuid4().hex}"
+    rows = t.train().withColumn("bucket", F.pmod(F.col("dr_id").cast("bigint"), F.lit(4))).repartition("bucket").sortWithinPartitions("bucket")
+    rows.select("dr_id", "pr_id", "bucket").write.partitionBy("bucket").option("header", True).csv(f"{folder}/good")
+    rows.select(F.col("dr_id").alias("other"), "bucket").write.partitionBy("bucket").option("header", True).csv(f"{folder}/foreign")
+    rows.select("bucket").distinct().withColumn("value", F.lit("")).write.partitionBy("bucket").option("header", False).option("lineSep", " ").option("emptyValue", "").csv(f"{folder}/blank")
+    found = scans.split_headers(t.spark, folder, pattern="*.csv")
+    return found.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.count("*").alias("files"))
 
 
 @check(

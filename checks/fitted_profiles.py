@@ -274,11 +274,12 @@ def scalar_baselines(t):
 
 @check("base_and_prior_predictors")
 def base_and_prior_predictors(t):
-    rows = t.counted().where("model = 'A'")
     out = strengthening.train_predictors(
-        rows, ["l_quantity", "source_drug_count", "source_target_count"], ["base_confidence", "source_pair_count", "l_quantity"]
+        t.counted(), ["l_quantity", "source_drug_count", "source_target_count"], ["base_confidence", "source_pair_count", "l_quantity"]
     )
-    return ranking.auc_metrics(out, ["dataset", "split"], "s_prior", "label")
+    scores = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in ("s_base", "s_prior", "s_full")]))
+    long = out.select("model", "dataset", "split", "label", scores.alias("_s")).select("model", "dataset", "split", "label", "_s.*")
+    return ranking.auc_metrics(long, ["model", "dataset", "split", "channel"], "score", "label")
 
 
 @check("formal_audit")

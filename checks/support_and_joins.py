@@ -18,6 +18,23 @@ def support_counts(t):
     return t.counts()[0]
 
 
+@check(
+    "leakage_check",
+    """SELECT true AS free_of_outcomes, false AS labels_free, (SELECT count(*) FROM source_counts) AS rows, 0 AS changed, true AS moved""",
+)
+def leakage_check(t):
+    """Support counts resolve without any outcome column and do not change when outcomes are dealt anew."""
+    related = t.related()
+    maps = [support.cluster_map(related, f"{side}_id", f"{kind}_cluster") for side, kind in (("dr", "drug"), ("pr", "target"))]
+    build = lambda rows: support.source_counts(rows, *maps)
+    draw = F.pmod(F.xxhash64("dr_id", "pr_id"), F.lit(2)).cast("double")
+    source = t.train().withColumn("label", draw)
+    effects = quality.outcome_effects(build, source, "label")
+    by_label = quality.needs_no_outcome(lambda rows: rows.groupBy("dr_id").agg(F.sum("label").alias("n")), source)
+    return effects.select(
+        F.lit(quality.needs_no_outcome(build, source)).alias("free_of_outcomes"), F.lit(by_label).alias("labels_free"), "rows", "changed", (F.col("moved") > 0).alias("moved"))
+
+
 @check("first_wins_cluster_map", "SELECT id, cluster FROM drug_map")
 def first_wins_cluster_map(t):
     return support.cluster_map(t.related(), "dr_id", "drug_cluster")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,9 +118,37 @@ def cardinality_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how
     return left.join(right, list(keys), how)
 
 
-def reads_no_outcome(df: DataFrame, outcomes: Sequence[str] = ("label", "y", "base_wrong", "base_correct")) -> bool:
+OUTCOMES = ("label", "y", "base_wrong", "base_correct")
+
+
+def reads_no_outcome(df: DataFrame, outcomes: Sequence[str] = OUTCOMES) -> bool:
     """True if no step of the optimised plan above the scans uses an outcome column."""
     text = df._jdf.queryExecution().optimizedPlan().toString().lower()
     steps = [line for line in text.splitlines() if not re.search(r"(logicalrdd|relation) *\[", line)]
     used = set(re.findall(r"([a-z_0-9]+)#\d+", "\n".join(steps))) | {c.lower() for c in df.columns}
     return not used.intersection(outcomes)
+
+
+def needs_no_outcome(build: Callable[[DataFrame], DataFrame], source: DataFrame, outcomes: Sequence[str] = OUTCOMES) -> bool:
+    """Whether ``build`` can be resolved over ``source`` without its outcome columns: what is not there can't be read.
+
+    Names are compared without case, as Spark resolves them.
+    """
+    kept = [c for c in source.columns if c.lower() not in {o.lower() for o in outcomes}]
+    try:
+        return bool(build(source.select(*kept)).columns)
+    except AnalysisException:
+        return False
+
+
+def outcome_effects(build: Callable[[DataFrame], DataFrame], source: DataFrame, outcome: str, seed: int = 2026) -> DataFrame:
+    """(rows, changed, moved): rows of ``build(source)``, rows that differ once outcomes are dealt anew, and outcomes that this changed.
+
+    Each row gets the opposite of its outcome (a number from 0 to 1) or keeps it, by a hash of the row.
+    """
+    draw = F.pmod(F.xxhash64(*source.columns, F.lit(seed)), F.lit(2))
+    dealt = source.withColumn("_before", F.col(outcome)).withColumn(outcome, F.when(draw == 1, 1 - F.col(outcome)).otherwise(F.col(outcome)))
+    moved = dealt.agg(F.count_if(~F.col("_before").eqNullSafe(F.col(outcome))).alias("moved"))
+    before, after = build(source), build(dealt.drop("_before"))
+    changed = table_difference(before, after).agg(F.count(F.lit(1)).alias("changed"))
+    return before.agg(F.count(F.lit(1)).alias("rows")).join(changed, how="cross").join(moved, how="cross")  # one row each

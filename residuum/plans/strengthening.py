@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -326,32 +327,62 @@ def diagnostic_analysis(increments: DataFrame, component: str, resamples: int, s
 # --- predictors ----------------------------------------------------------------------
 
 
-def train_predictors(rows: DataFrame, base: Sequence[str], prior: Sequence[str], label: str = "label") -> DataFrame:
-    """Base predictor first, then a prior head on prior columns with the base frozen.
+def train_predictors(
+    rows: DataFrame, base: Sequence[str], prior: Sequence[str], label: str = "label", by: Sequence[str] = ("model",), row_id: str = "row_id",
+    held: float = 0.25, seed: int = 2026,
+) -> DataFrame:
+    """Base predictor first, then a prior head on prior columns beside the frozen base; one of each per ``by``.
 
-    The prior head is the better of two learners by AUROC + AUPRC on validation.
-    Returns all rows with s_base and s_prior.
+    Rows of split 'validation' train. The base logit enters the head as an offset, so the head learns what the base
+    leaves over. The head is linear, or linear with squares: each is fitted on a part of the training rows, and the one whose
+    full logit has the higher AUROC + AUPRC on the other part (``held`` of the rows, by a hash of ``row_id``) is fitted again on all of them.
+    Returns all rows with s_base, s_prior (the head alone), s_full (their sum) and head. Null columns count as 0; rows without a label
+    are scored only. A group whose training rows lack a class gets null scores.
     """
-    known = rows.where(F.col(label).isNotNull())
-    train = known.where("split = 'validation'")
-    weight = registry.class_weights(train, [], label).select("weight_positive", "weight_negative").first()
-    w = F.when(F.col(label) > 0.5, float(weight.weight_positive)).otherwise(float(weight.weight_negative))
-    vector = lambda cols: array_to_vector(F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in cols]))
-    ready = lambda df: df.withColumns({"_w": w, "_b": vector(base), "_p": vector(prior)})
-    logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1.0 - p, F.lit(1e-9)))
-    score = lambda model, df, out: model.transform(df).withColumn(
-        out, logit(F.get(vector_to_array("probability"), F.lit(1)))
-    ).drop("probability", "rawPrediction", "prediction")
-    fitted = LogisticRegression(featuresCol="_b", labelCol=label, weightCol="_w").fit(ready(train))
-    out = score(fitted, ready(rows), "s_base")
-    learners = [
-        LogisticRegression(featuresCol="_p", labelCol=label, weightCol="_w"),
-        MultilayerPerceptronClassifier(featuresCol="_p", labelCol=label, layers=[len(prior), 8, 2], seed=2026, maxIter=50),
-    ]
-    best, best_model = -1.0, None
-    for learner in learners:
-        model = learner.fit(ready(train))
-        got = ranking.auc_metrics(score(model, ready(train), "_s"), [], "_s", label).first()
-        if got.auroc + got.auprc > best:
-            best, best_model = got.auroc + got.auprc, model
-    return score(best_model, out, "s_prior").drop("_w", "_b", "_p")
+    part = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < int(held * 1_000_000)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
+    heads = {"linear": [number(c) for c in prior], "squares": [x for c in prior for x in (number(c), number(c) * number(c))]}
+    ready = rows.withColumns({
+        "_b": array_to_vector(F.array(*[number(c) for c in base])), "_part": part,
+        **{f"_{h}": array_to_vector(F.array(*columns)) for h, columns in heads.items()}})
+    drop = ["_b", "_part", "_w", *[f"_{h}" for h in heads]]
+    out = None
+    for key in rows.select(*by).distinct().orderBy(*by).collect():  # one row a model
+        own = ready
+        for k in by:
+            own = own.where(F.col(k).eqNullSafe(F.lit(key[k])))
+        own = own.withColumn("_y", F.col(label).cast("double"))
+        train = own.where(F.col("_y").isNotNull() & (F.col("split") == "validation"))
+        weight = registry.class_weights(train, [], "_y").first()
+        if weight is None or not weight.positives or not weight.negatives:
+            none = F.lit(None).cast("double")
+            done = own.withColumns({"s_base": none, "s_prior": none, "s_full": none, "head": F.lit(None).cast("string"), "_w": none})
+        else:
+            own = own.withColumn("_w", F.when(F.col("_y") > 0.5, float(weight.weight_positive)).otherwise(float(weight.weight_negative)))
+            own = cut(_logits(LogisticRegression(featuresCol="_b", labelCol="_y", weightCol="_w").fit(own.where("split = 'validation' and _y is not null")), own, "s_base"), "base-scores")
+            train = own.where("split = 'validation' and _y is not null")
+            best, chosen = -1.0, "linear"
+            for name in heads:
+                got = ranking.auc_metrics(_head(train.where("not _part"), name, train.where("_part")), [], "s_full", "_y").first()
+                quality_ = (got.auroc or 0.0) + (got.auprc or 0.0) if got is not None else 0.0
+                if quality_ > best:
+                    best, chosen = quality_, name
+            done = _head(train, chosen, own).withColumn("head", F.lit(chosen))
+        done = done.drop(*drop, "_y")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def _logits(model, rows: DataFrame, out: str) -> DataFrame:
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    logit = F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1.0 - p, F.lit(1e-9)))
+    return model.transform(rows).withColumn(out, logit).drop("probability", "rawPrediction", "prediction")
+
+
+def _head(train: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with s_prior of a head fitted on ``train`` beside the base logit, and s_full."""
+    head = GeneralizedLinearRegression(
+        family="binomial", link="logit", featuresCol=f"_{name}", labelCol="_y", weightCol="_w", offsetCol="s_base", regParam=1e-6,
+        predictionCol="_p", linkPredictionCol="_link").fit(train)
+    scored = head.transform(rows).withColumn("s_full", F.col("_link"))
+    return scored.withColumn("s_prior", F.col("s_full") - F.col("s_base")).drop("_p", "_link")

@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from typing import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +47,34 @@ def prediction_table(raw: DataFrame) -> DataFrame:
     return base_columns(raw.withColumn("test_run", run_name(F.col("test_run"))))
 
 
-def line_order() -> Column:
-    """Place of a row inside its file: grows with the line and is unique in the file.
+def number_lines(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``raw``, a file scan, with the place of each row in its file: 0, 1, 2, ... in the order of lines.
 
-    A block starts at a byte, and no block has more lines than bytes.
+    The rows of each block of a file are counted; the sums of the counts before a block are where its numbers begin.
+    Inside a block rows are numbered as they are read. So numbers are the same however
+    files are split into blocks and blocks packed into tasks.
     """
-    return (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")
+    fields = raw.schema.fields
+    placed = raw.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a block
+    schema = T.StructType([*fields, *T.StructType.fromDDL("_file string, _block bigint, _place bigint").fields])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = None, 0
+        for batch in batches:
+            blocks = list(zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()))
+            places = []
+            for block in blocks:
+                if block != own:
+                    own, seen = block, 0
+                places.append(seen)
+                seen += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "_place"])
+
+    numbered = placed.mapInArrow(number, schema).join(starts, ["_file", "_block"])
+    return numbered.withColumn(row_id, F.col("_start") + F.col("_place")).drop("_block", "_start", "_place")
 
 
 def read_predictions(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> DataFrame:
@@ -59,15 +82,14 @@ def read_predictions(spark: SparkSession, root: str, names: dict[str, str] | Non
 
     Run keys come from the file path, with or without their names (``model=m``). A file's ``split`` names the source split and
     ``phase`` the part of the run: ``split`` of the table is the phase where there is
-    one, the file's own is kept as ``source_split``. ``row_id`` is unique in its run
-    and phase as long as each has one file, and grows with the line.
+    one, the file's own is kept as ``source_split``. ``row_id`` is the place of the line in its file, from 0.
     """
-    raw = spark.read.schema(AUDIT_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(root)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    raw = number_lines(spark.read.schema(AUDIT_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(root))
+    parts = F.split(F.col("_file"), "/")
     at = lambda i: F.regexp_replace(F.element_at(parts, i), "^[a-z_]+=", "")
     tagged = raw.select(
-        "*", at(-4).alias("model"), at(-3).alias("dataset"), at(-2).alias("test_run"), line_order().alias("row_id")
-    ).withColumns({"source_split": F.col("split"), "split": F.coalesce("phase", "split")})
+        "*", at(-4).alias("model"), at(-3).alias("dataset"), at(-2).alias("test_run")
+    ).withColumns({"source_split": F.col("split"), "split": F.coalesce("phase", "split")}).drop("_file")
     return prediction_table(tagged.withColumn("model", display_name(F.col("model"), names or {})))
 
 
@@ -76,31 +98,53 @@ def source_interactions(train: DataFrame) -> DataFrame:
     return train.select(*[c for c in SOURCE_COLUMNS if c in train.columns])
 
 
-def read_split_file(spark: SparkSession, path: str, file_order: Column) -> DataFrame:
-    """The source columns of one split file by its own header, with ``file_order`` and its place ``row_id``; a missing column is null."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+def _split_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The source columns of files of one header, with their file and place; a missing column is null."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(list(paths))
     rows = raw if set(SOURCE_COLUMNS) & set(raw.columns) else raw.limit(0)
-    return rows.select(
-        *[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in SOURCE_COLUMNS],
-        file_order.alias("file_order"), line_order().alias("row_id"),
-    )
+    named = number_lines(rows) if rows is raw else rows.withColumns({"_file": F.lit(""), "row_id": F.lit(0).cast("bigint")})
+    return named.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in SOURCE_COLUMNS], "_file", "row_id")
+
+
+def read_split_file(spark: SparkSession, path: str, file_order: Column) -> DataFrame:
+    """The source columns of one split file by its own header, with ``file_order`` (of the column _file, its path) and its place ``row_id``."""
+    return _split_rows(spark, [path]).withColumn("file_order", file_order).select(*SOURCE_COLUMNS, "file_order", "row_id")
 
 
-def read_related_splits(spark: SparkSession, folder: str, train_file: str) -> DataFrame:
-    """Every ``*_with_id.csv`` below a folder, train first, then by name (``file_order``).
+def split_headers(spark: SparkSession, folder: str, pattern: str = "*_with_id.csv") -> DataFrame:
+    """(path, header, reason) of every file below ``folder``: its first line, read in tasks, and why it gives no rows (null: it does)."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("_metadata.file_block_start") == 0)
+    heads = first.groupBy("path").agg(F.first("value").alias("header"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    names = F.transform(F.split("header", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    reason = F.when(F.coalesce(F.trim("header"), F.lit("")) == "", "empty_file").when(~F.arrays_overlap(names, F.array(*map(F.lit, SOURCE_COLUMNS))), "no_source_column")
+    path = F.regexp_replace("path", "^file:/+", "file:///")
+    return files.select(path.alias("path")).join(heads.select(path.alias("path"), "header"), "path", "left").select("path", "header", reason.alias("reason"))
 
-    Files may differ in their columns and column order; a file without any source
-    column gives no rows. (file_order, row_id) is the order of all lines.
+
+def read_related_splits(spark: SparkSession, folder: str, train_file: str, pattern: str = "*_with_id.csv", depth: int = 1) -> DataFrame:
+    """Every ``*_with_id.csv`` below a folder, train first, then by name (``file_order``): the ``depth``-th part of the path from its end.
+
+    Files may differ in their columns and column order; those of one header are one scan. A file without any source
+    column gives no rows (``split_headers`` lists it). (file_order, row_id) is the order of all lines.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_with_id.csv").option("recursiveFileLookup", True).load(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = F.element_at(F.split(F.col("_file"), "/"), -depth)
     order = F.when(name == train_file, F.lit("")).otherwise(name)
     out = spark.createDataFrame([], ", ".join(f"{c} string" for c in SOURCE_COLUMNS) + ", file_order string, row_id bigint")
-    for path in sorted(r.path for r in files.select("path").collect()):  # the split files of one dataset
-        out = out.unionByName(read_split_file(spark, path, order))
+    good = split_headers(spark, folder, pattern).where("reason IS NULL")
+    for r in good.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect():  # paths of split files
+        out = out.unionByName(_split_rows(spark, r["paths"]).withColumn("file_order", order).drop("_file"))
     return out
 
 
+def rejected(rows: DataFrame, reasons: dict[str, Column], keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejects): rows that no reason applies to, and counts of the others by their first reason (and ``keep``)."""
+    reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons.items()])
+    tagged = rows.withColumn("reason", reason)
+    return tagged.where("reason IS NULL").drop("reason"), tagged.where("reason IS NOT NULL").groupBy(*keep, "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def phase_union(frames: dict[str, DataFrame], column: str = "phase") -> DataFrame:
     out = None
     for phase, df in frames.items():

@@ -35,6 +35,39 @@ def test_related_files_keep_their_own_headers(spark, tmp_path):
     assert [(r.dr_id, r.pr_id, r.drug_cluster, r.target_cluster) for r in rows] == [("1", "10", None, "5"), ("2", "20", "7", None), ("3", "21", "6", None)]
 
 
+@pytest.mark.parametrize("block,open_cost", [("128m", "4m"), ("2k", "0"), ("700b", "0"), ("20k", "0")])
+def test_row_ids_are_line_numbers_under_any_packing(spark, tmp_path, block, open_cost):
+    header = [f.split()[0] for f in scans.AUDIT_SCHEMA.split(", ")]
+    for run, n in (("seed_1", 400), ("seed_2", 3), ("seed_3", 90)):
+        (tmp_path / "m" / "d" / run).mkdir(parents=True)
+        lines = [",".join({"phase": "test", "dr_id": str(i), "label": "x" if i % 7 == 0 else "1"}.get(h, "") for h in header) + ("\n" if i % 11 == 0 else "") for i in range(n)]
+        (tmp_path / "m" / "d" / run / "rows.csv").write_text("\n".join([",".join(header), *lines]) + "\n")
+    (tmp_path / "b_with_id.csv").write_text("pr_id,dr_id\n" + "".join(f"1,{i}\n" for i in range(500)))
+    (tmp_path / "train_with_id.csv").write_text("dr_id,pr_id\n" + "".join(f"{i},1\n" for i in range(300)))
+    (tmp_path / "c_with_id.csv").write_text("nothing\n1\n")
+    (tmp_path / "d_with_id.csv").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block), spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        rows = scans.read_predictions(spark, str(tmp_path / "m")).select("test_run", "dr_id", "row_id").collect()
+        assert sorted((r.test_run, r.row_id) for r in rows) == [(f"seed_{k}", i) for k, n in ((1, 400), (2, 3), (3, 90)) for i in range(n)]
+        assert all(r.dr_id == str(r.row_id) for r in rows)
+        related = scans.read_related_splits(spark, str(tmp_path), "train_with_id.csv").collect()
+        assert sorted((r.file_order, r.row_id) for r in related) == [("", i) for i in range(300)] + [("b_with_id.csv", i) for i in range(500)]
+        assert all(r.dr_id == str(r.row_id) for r in related)
+        reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in scans.split_headers(spark, str(tmp_path)).collect()}
+        assert reasons == {"b_with_id.csv": None, "train_with_id.csv": None, "c_with_id.csv": "no_source_column", "d_with_id.csv": "empty_file"}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_rejected_rows_are_counted_by_reason(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), (None, None), (None, 2.0)], "id string, v double")
+    kept, rejects = scans.rejected(rows, {"no_id": F.col("id").isNull(), "no_value": F.col("v").isNull()})
+    assert kept.count() == 1 and {r.reason: r["rows"] for r in rejects.collect()} == {"no_id": 2, "no_value": 1}
+
+
 def test_no_local_folder_on_a_cluster(monkeypatch):
     from residuum import storage
 

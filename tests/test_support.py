@@ -35,6 +35,12 @@ def test_support_does_not_read_outcomes(spark):
     counts = support.source_counts(scans.source_interactions(train), none, none)
     assert quality.reads_no_outcome(counts)
     assert not quality.reads_no_outcome(train.select("label"))
+    build = lambda rows: rows.groupBy("dr_id").count()
+    leaky = lambda rows: rows.groupBy("dr_id").agg(F.sum("label").alias("n"))
+    labelled = spark.range(40).select((F.col("id") % 5).alias("dr_id"), (F.col("id") % 2).cast("double").alias("label"), "id")
+    assert quality.needs_no_outcome(build, labelled) and not quality.needs_no_outcome(leaky, labelled)
+    clean, dirty = (quality.outcome_effects(f, labelled, "label").first() for f in (build, leaky))
+    assert clean.changed == 0 and clean.moved > 0 and dirty.changed > 0
 
 
 def hits(spark, rows):
