@@ -7,10 +7,9 @@ borrow alike exactly as often as their sets agree. Bins are grouped to bands, te
 band's hash meet in a bucket, and a bucket gives a star of candidate edges (its
 hub with every member), never all pairs. Every edge is confirmed on full sets.
 
-Texts with equal sets are one node. In a first round each node is compared with one of its hubs only, which joins
+Texts with equal sets are one node. Each node is compared with one of its hubs only, which joins
 most groups at the cost of one set a node. A star may miss a link between two members
-that both fail at the hub; so buckets whose members are then in different components
-compare all such members with their hub, and what is still mixed is confirmed in
+that both fail at the hub; so buckets whose members are then in different components are confirmed in
 cells: a bucket's members outside its largest component are cut into blocks, so is that component, and each
 block of the first meets each block of both once. A set travels once to a cell, not once to a pair; all its
 links are found there on full sets, and only those that join components leave. Before a star's full sets are
@@ -31,15 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.components import components
-from residuum.llm.text import WordHashes, hashes_of, long, mix, shingle_set, texts, words
+from residuum.llm.text import WordHashes, hashes_of, mix, shingle_set, texts, words
 from residuum.storage import cut
 
 #: Bins per band.
 BAND_ROWS = 6
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-5
-#: Rounds of stars; a bucket still mixed after the last one goes to cells.
-ROUNDS = 2
 #: Bits kept of each bin for the estimate that rules out pairs, and its one-sided bound in standard deviations.
 PLANES = 4
 BOUND = 4.3
@@ -200,7 +197,6 @@ def near_duplicates(
     are null (then null, and kept is true). Repeated rows are linked like any
     copies and all with the smallest id are kept. Other columns are ignored.
     """
-    spark = docs.sparkSession
     bands = band_count(percent, rows)
     marked = cut(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     nodes = cut(
@@ -228,39 +224,20 @@ def near_duplicates(
     size = nodes.select("node", "n_shingles")
     bits = cut(nodes.join(wanted, "node", "left_semi").select("node", "n_shingles", "bands", "bits"), "bits")
     bins = bands * rows
-    tested = _measured(
-        spark.createDataFrame([], "hub string, node string, shared long, n_shingles long, hub_size long"), percent
-    )
-    open_members, roots = members.withColumn("root", F.col("node")), None
-    for rounds in range(ROUNDS):
-        hubs = cut(
-            open_members.groupBy("bucket")
-            .agg(F.min(F.struct((-F.col("copies")).alias("c"), "rank", "node", "n_shingles", "root")).alias("h"))
-            .select("bucket", F.struct("h.c", "h.rank", "h.node").alias("order"), F.col("h.node").alias("hub"),
-                    F.col("h.n_shingles").alias("hub_size"), F.col("h.root").alias("hub_root")),
-            "hubs",
-        )
-        pairs = open_members.join(hubs, "bucket").where((F.col("hub_root") != F.col("root")) & fits)
-        if rounds == 0:  # of a node's hubs the first by the order that elects them, so that buckets of one group agree
-            pairs = pairs.groupBy("node").agg(F.min("order").alias("h")).select(F.col("h.node").alias("hub"), "node")
-        else:
-            pairs = pairs.select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b"), "hub", "node")
-            pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"), F.min_by("node", "hub").alias("node")).select("hub", "node")
-        pairs = cut(_possible(_untested(pairs, tested) if rounds else pairs, bits, bins, percent), "pairs")
-        found = _sized(verify(pairs, sets), size)
-        tested = _measured(cut(tested.select(*found.columns).unionByName(found), "tested"), percent)
-        links = _links(tested)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = cut(components(links), "roots")
-        now = members if rounds == 0 else open_members.drop("root")
-        if rounds:  # a hub has met all members of its bucket; only the others may have untested pairs
-            now = now.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        open_members = cut(now.join(mixed, "bucket"), "open")
-        if open_members.isEmpty():
-            return _result(marked, nodes, roots)
+    order = F.struct((-F.col("copies")).alias("c"), "rank", "node")
+    hubs = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "n_shingles")).alias("h"))
+    hubs = hubs.select("bucket", "h.order", F.col("h.n_shingles").alias("hub_size"))
+    # of a node's hubs the first by the order that elects them, so that buckets of one group agree
+    pairs = members.join(hubs, "bucket").where((F.col("order.node") != F.col("node")) & fits)
+    pairs = pairs.groupBy("node").agg(F.min("order").alias("h")).select(F.col("h.node").alias("hub"), "node")
+    pairs = cut(_possible(cut(pairs, "stars"), bits, bins, percent), "pairs")
+    roots = cut(components(_links(_measured(_sized(verify(pairs, sets), size), percent))), "roots")
+    now = members.select("bucket", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = cut(now, "rooted")
+    mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    open_members = cut(now.join(mixed, "bucket"), "open")
+    if open_members.isEmpty():
+        return _result(marked, nodes, roots)
     links = in_cells(open_members, sets, percent).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return _result(marked, nodes, cut(components(links), "roots"))
 
@@ -274,15 +251,9 @@ def _sized(found: DataFrame, size: DataFrame) -> DataFrame:
     return found.join(size, "node").join(hubs, "hub").select("hub", "node", "shared", "n_shingles", "hub_size")
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    turned = tested.select(F.col("hub").alias("node"), F.col("node").alias("hub"))
-    done = tested.select("hub", "node").unionByName(turned)
-    return pairs.join(done, ["hub", "node"], "left_anti")
-
-
 def _measured(tested: DataFrame, percent: int) -> DataFrame:
     union = F.col("n_shingles") + F.col("hub_size") - F.col("shared")
-    return tested.withColumns({"linked": F.col("shared") * 100 >= union * percent, "far": 1 - F.col("shared") / union})
+    return tested.withColumn("linked", F.col("shared") * 100 >= union * percent)
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, bins: int, percent: int) -> DataFrame:
