@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from residuum.functions import columns as C
 from residuum.operators import profiles, registry, support
-from residuum.operators.policy import candidates, table_flags
+from residuum.operators.policy import candidates
 from residuum.sources import scans, sinks
 from residuum.storage import shared_folder
 
@@ -75,8 +75,8 @@ def rejected_split_files(t):
     rows = t.train().withColumn("bucket", F.pmod(F.col("dr_id").cast("bigint"), F.lit(4))).repartition("bucket").sortWithinPartitions("bucket")
     rows.select("dr_id", "pr_id", "bucket").write.partitionBy("bucket").option("header", True).csv(f"{folder}/good")
     rows.select(F.col("dr_id").alias("other"), "bucket").write.partitionBy("bucket").option("header", True).csv(f"{folder}/foreign")
-    rows.select("bucket").distinct().withColumn("value", F.lit("")).write.partitionBy("bucket").option("header", False).option("lineSep", " ").option("emptyValue", "").csv(f"{folder}/blank")
-    found = scans.split_headers(t.spark, folder, pattern="*.csv")
+    rows.select("bucket").distinct().withColumn("value", F.lit(" ")).write.partitionBy("bucket").text(f"{folder}/blank")
+    found = scans.split_headers(t.spark, folder, pattern="part-*")
     return found.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.count("*").alias("files"))
 
 
@@ -376,11 +376,8 @@ def prior_features(t):
     ["p"],
 )
 def evidence_probability_fallback(t):
-    rows = t.base().withColumn("shown", F.when(F.col("dataset") == "F", F.col("p_prior")))
-    flags = table_flags(rows, RUN, ["shown"])
-    return rows.join(flags, RUN).select(
-        "row_id", F.when(F.col("has_shown"), C.finite("shown")).otherwise(C.sigmoid(C.finite("s_prior"))).alias("p")
-    )
+    rows = t.base().withColumn("p_prior", F.when(F.col("dataset") == "F", F.col("p_prior")))
+    return profiles.exported_or_implied(rows, RUN).select("row_id", F.col("_raw").alias("p"))
 
 
 @check(

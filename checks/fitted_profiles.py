@@ -61,9 +61,7 @@ SUPPORT_COLUMNS = [
     SUPPORT_CTES,
 )
 def support_attachment(t):
-    # pairs whose drug has no fingerprint have no neighbour list: they count as unsupported
-    rows = supported(t).select("row_id", *SUPPORT_COLUMNS)
-    return rows.withColumn("joint_nearest_train_distance", F.coalesce("joint_nearest_train_distance", F.lit(1.0)))
+    return supported(t).select("row_id", *SUPPORT_COLUMNS)
 
 
 @check(

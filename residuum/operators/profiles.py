@@ -185,6 +185,14 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
     return out | {c: finite(or_null(df, c)) for c in PASSED_THROUGH}
 
 
+def exported_or_implied(df: DataFrame, table: Sequence[str]) -> DataFrame:
+    """``df`` with ``_raw``: the exported prior probability in tables (``table`` keys) that have any, else the one its logit implies."""
+    shown = finite(or_null(df, "p_prior"))
+    exported = df.groupBy(*table).agg(F.bool_or(shown.isNotNull()).alias("_exported"))
+    joined = df.join(cut(exported, "exported-priors"), list(table), "left")
+    return joined.withColumn("_raw", F.when(F.col("_exported"), shown).otherwise(sigmoid(finite(or_null(df, "s_prior")))))
+
+
 def fit_frames(
     residual: DataFrame, test_residual: DataFrame | None, keys: Sequence[str], folds: int, limit: int = LOCAL_ROWS
 ) -> DataFrame:
@@ -197,9 +205,6 @@ def fit_frames(
     label, implied = prior_label(residual)
     known = residual.groupBy(*keys).agg(F.bool_or(label.isNotNull()).alias("_labelled"))
     rows = residual.join(known, keys).withColumn("_y", F.when(F.col("_labelled"), label).otherwise(implied))
-    raw = lambda df: F.when(F.col("_exported"), finite(or_null(df, "p_prior"))).otherwise(
-        sigmoid(finite(or_null(df, "s_prior")))
-    )
     held = test_residual if test_residual is not None else residual.limit(0)
     held = held.withColumns({"role": F.lit("held"), "fit": F.lit(-1)})
     every = F.sequence(F.lit(-1), F.coalesce(F.col("n_folds") - 1, F.lit(-1)))
@@ -212,10 +217,7 @@ def fit_frames(
 
     def finish(df: DataFrame) -> DataFrame:
         # each table of a fit decides for itself whether prior probabilities were exported
-        table = [*keys, "fit", "role"]
-        exported = df.groupBy(*table).agg(F.bool_or(finite(or_null(df, "p_prior")).isNotNull()).alias("_exported"))
-        df = df.join(cut(exported, "exported-priors"), table, "left")
-        df = df.withColumn("_raw", raw(df))
+        df = exported_or_implied(df, [*keys, "fit", "role"])
         df = prior_probability(df, models, [*keys, "fit"], "_raw")
         named = feature_columns(df)
         return df.select(

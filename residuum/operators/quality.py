@@ -148,7 +148,9 @@ def outcome_effects(build: Callable[[DataFrame], DataFrame], source: DataFrame,
     """
     draw = F.pmod(F.xxhash64(*source.columns, F.lit(seed)), F.lit(2))
     dealt = source.withColumn("_before", F.col(outcome)).withColumn(outcome, F.when(draw == 1, 1 - F.col(outcome)).otherwise(F.col(outcome)))
-    moved = dealt.agg(F.count_if(~F.col("_before").eqNullSafe(F.col(outcome))).alias("moved"))
     before, after = build(source), build(dealt.drop("_before"))
-    changed = table_difference(before, after).agg(F.count(F.lit(1)).alias("changed"))
-    return before.agg(F.count(F.lit(1)).alias("rows")).join(changed, how="cross").join(moved, how="cross")  # one row each
+    counted = {
+        "rows": before, "changed": table_difference(before, after), "moved": dealt.where(~F.col("_before").eqNullSafe(F.col(outcome))),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, parts).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counted])

@@ -76,13 +76,14 @@ def leave_one_out(rows: DataFrame, column: str) -> DataFrame:
 
 
 def heterogeneity(rows: DataFrame, keys: Sequence[str], axes: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Means by each axis in turn, stacked."""
-    keys = list(keys)
-    sides = F.array(
-        *[F.struct(F.lit(a).alias("heterogeneity_axis"), F.col(a).cast("string").alias("stratum")) for a in axes]
-    )
-    long = rows.select(*keys, *values, F.explode(sides).alias("_s")).select(*keys, *values, "_s.*")
-    return cluster_means(long, [*keys, "heterogeneity_axis", "stratum"], values)
+    """Means by each axis in turn, stacked: one aggregate over grouping sets. Rows without a value on an axis are its null stratum."""
+    keys, axes = list(keys), list(axes)
+    sets = [[*keys, a] for a in axes]
+    level = rows.groupingSets(sets, *keys, *axes).agg(
+        *[F.avg(v).alias(v) for v in values], *[F.grouping(a).alias(f"_off_{a}") for a in axes])
+    axis = F.coalesce(*[F.when(F.col(f"_off_{a}") == 0, F.lit(a)) for a in axes])
+    stratum = F.coalesce(*[F.when(F.col(f"_off_{a}") == 0, F.col(a).cast("string")) for a in axes])
+    return level.select(*keys, axis.alias("heterogeneity_axis"), stratum.alias("stratum"), *values)
 
 
 def direction_columns(validation: Column, test: Column) -> dict[str, Column]:

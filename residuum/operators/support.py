@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions.columns import canonical_id, finite, or_null, strict_max, support_columns, support_state
@@ -175,19 +175,15 @@ def domain_strata(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = [*keys, "support_reference"]
     tagged = rows.withColumn("support_state", support_state(F.col("drug_seen"), F.col("target_seen")))
-    level = tagged.groupBy(*keys, "support_state").agg(
+    # the states and the overall level in one aggregate; five rows per key from here on
+    both = tagged.groupingSets([[*keys, "support_state"], keys], *keys, "support_state").agg(
         F.count(F.lit(1)).alias("residual_n"), F.coalesce(F.sum("base_wrong"), F.lit(0.0)).alias("error_count"),
-        F.count("base_wrong").alias("_labelled"),
-    )
-    # five rows per key from here on: the overall level is rolled up from the states
-    sums = [F.sum(c).alias(c) for c in ("residual_n", "error_count", "_labelled")]
-    overall = level.groupBy(*keys).agg(*sums)
-    both = level.unionByName(overall.withColumn("support_state", F.lit("all")))
-    totals = overall.select(
-        *keys, F.col("residual_n").alias("_all_n"), F.try_divide("error_count", "_labelled").alias("_all_rate")
-    )
+        F.count("base_wrong").alias("_labelled"), F.grouping("support_state").alias("_overall"),
+    ).withColumn("support_state", F.when(F.col("_overall") == 1, "all").otherwise(F.col("support_state")))
+    whole = lambda c: F.max(F.when(F.col("_overall") == 1, c)).over(Window.partitionBy(*keys))
+    both = both.withColumns({"_all_n": whole(F.col("residual_n")), "_all_rate": whole(F.try_divide(F.col("error_count"), F.col("_labelled")))})
     rate = F.try_divide(F.col("error_count"), F.col("_labelled"))
-    return both.join(totals, keys).select(
+    return both.select(
         *keys,
         "support_state",
         "residual_n",

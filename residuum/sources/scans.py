@@ -112,7 +112,10 @@ def read_split_file(spark: SparkSession, path: str, file_order: Column) -> DataF
 
 
 def split_headers(spark: SparkSession, folder: str, pattern: str = "*_with_id.csv") -> DataFrame:
-    """(path, header, reason) of every file below ``folder``: its first line, read in tasks, and why it gives no rows (null: it does)."""
+    """(path, header, reason) of every file below ``folder``: its first line, read in tasks, and why it gives no rows (null: it does).
+
+    Spark's readers pass over files of no bytes, so those are not listed.
+    """
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
     first = lines.select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("_metadata.file_block_start") == 0)
     heads = first.groupBy("path").agg(F.first("value").alias("header"))

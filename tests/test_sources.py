@@ -45,7 +45,7 @@ def test_row_ids_are_line_numbers_under_any_packing(spark, tmp_path, block, open
     (tmp_path / "b_with_id.csv").write_text("pr_id,dr_id\n" + "".join(f"1,{i}\n" for i in range(500)))
     (tmp_path / "train_with_id.csv").write_text("dr_id,pr_id\n" + "".join(f"{i},1\n" for i in range(300)))
     (tmp_path / "c_with_id.csv").write_text("nothing\n1\n")
-    (tmp_path / "d_with_id.csv").write_text("")
+    (tmp_path / "d_with_id.csv").write_text("\n")
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", block), spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
