@@ -266,9 +266,9 @@ def key_overlap_counts(t):
 )
 def domain_support_strata(t):
     rows = states(t).where("state = 'residual' and split = 'test' and confidence_threshold = 0.8 and uncertainty_reject_fraction = 0.1")
-    seen = t.counted().select("row_id", (F.col("source_drug_count") > 8).alias("drug_seen"), (F.col("source_target_count") > 200).alias("target_seen"))
-    tagged = rows.join(seen, "row_id").withColumn("support_reference", F.lit("source_train"))
-    return support.domain_strata(tagged, RUN)
+    counted = support.attach_counts(rows.select(*RUN, "dr_id", "pr_id", "base_wrong"), *t.counts(), kinds=["drug", "target"])
+    seen = {"drug_seen": F.col("source_drug_count") > 8, "target_seen": F.col("source_target_count") > 200}
+    return support.domain_strata(counted.withColumns(seen).withColumn("support_reference", F.lit("source_train")), RUN)
 
 
 @check(

@@ -151,3 +151,25 @@ def test_tanimoto_ties_keep_source_order(spark):
 def test_no_source_means_no_neighbours(spark):
     df = spark.createDataFrame([("1", [1.0, 0.0], 1)], "id string, vec array<double>, ord bigint")
     assert neighbours.nearest_neighbours(df, df.where("ord < 0"), "cosine").count() == 0
+
+
+def test_counts_move_rows_only_for_large_lookups(spark):
+    """Counts equal brute force, the kinds asked for come alone, and small lookups do not move the rows."""
+    train = spark.range(400).select(
+        (F.col("id") % 17).alias("dr_id"), (F.col("id") % 11).alias("pr_id"), (F.col("id") % 17 % 3).alias("drug_cluster"),
+        (F.col("id") % 11 % 2).alias("target_cluster"), F.lit("").alias("file_order"), F.col("id").alias("row_id"))
+    drugs, targets = (support.cluster_map(train, c, k) for c, k in (("dr_id", "drug_cluster"), ("pr_id", "target_cluster")))
+    counts = support.source_counts(train, drugs, targets)
+    rows = spark.range(300).select("id", (F.col("id") % 19).alias("dr_id"), (F.col("id") % 13).alias("pr_id"), F.lit("payload").alias("wide"))
+    out = support.attach_counts(rows, counts, drugs, targets)
+    known = [(i % 17, i % 11) for i in range(400)]
+    sames = {"drug": lambda a, b: a[0] == b[0], "target": lambda a, b: a[1] == b[1], "pair": lambda a, b: a == b,
+             "drug_cluster": lambda a, b: b[0] < 17 and a[0] % 3 == b[0] % 3, "target_cluster": lambda a, b: b[1] < 11 and a[1] % 2 == b[1] % 2,
+             "cluster_pair": lambda a, b: b[0] < 17 and b[1] < 11 and a[0] % 3 == b[0] % 3 and a[1] % 2 == b[1] % 2}
+    for r in out.collect():
+        for kind, same in sames.items():
+            assert r[f"source_{kind}_count"] == sum(same(a, (r.dr_id, r.pr_id)) for a in known), (kind, r)
+    two = support.attach_counts(rows, counts, drugs, targets, kinds=["drug", "target"])
+    assert {c for c in two.columns if c.startswith("source_")} == {"source_drug_count", "source_target_count"}
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
