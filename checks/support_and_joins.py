@@ -213,7 +213,8 @@ def distance_lookups(t):
 def feature_coverage_filter(t):
     rows = neighbours.covered_rows(
         t.base(),
-        [("dr_id", t.fingerprints()), ("pr_id", t.vectors()), ("pr_id", t.hits().select(F.col("query_id").alias("id")))],
+        # only ids are read: no fingerprint or hit score is computed for them
+        [("dr_id", t.word_bits()), ("pr_id", t.vectors()), ("pr_id", t.unstored_hits().select(F.col("query_id").alias("id")))],
     )
     return rows.groupBy("model", "dataset").agg(F.count(F.lit(1)).alias("covered"))
 
@@ -407,7 +408,8 @@ SPANS = """WITH d AS (SELECT doc_id, length(text) AS n FROM documents),
 
 
 def _chunks(t):
-    docs = t.raw("documents").select("doc_id", F.explode(C.chunk_spans(F.length("text"))).alias("s")).select("doc_id", "s.*")
+    docs = t.raw("documents").select("doc_id", F.length("text").alias("size")).repartition(t.spark.sparkContext.defaultParallelism)
+    docs = docs.select("doc_id", F.explode(C.chunk_spans(F.col("size"))).alias("s")).select("doc_id", "s.*")
     return docs.withColumn("vec", F.array((F.col("start") % 13).cast("double"), (F.col("end") % 17).cast("double")))
 
 
