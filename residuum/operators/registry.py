@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from residuum.functions.columns import canonical_id, main_component, pair_vector, sequence_composition, unit
 
+POSITION_BLOCK = 256  # positions of one key that meet in one group
+
 
 def entity_registry(rows: DataFrame, id_column: str, text_column: str, phase: str = "phase") -> DataFrame:
     """Per entity: smallest non-empty text, its length and status, sorted phases."""
@@ -151,9 +153,38 @@ def merge_chunk_vectors(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merge_positions(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per-position vectors of overlapping chunks averaged by how often they are covered."""
-    long = chunks.select(*keys, "start", F.posexplode("vecs").alias("_i", "_v"))
-    return mean_vectors(long.withColumn("position", F.col("start") + F.col("_i")), [*keys, "position"], "_v")
+    """Per-position vectors of overlapping chunks averaged by how often they are covered.
+
+    Chunks are cut at multiples of ``POSITION_BLOCK`` and the pieces of a block meet as
+    arrays: a position becomes a row only after the shuffle.
+    """
+    start, size, block = F.col("start"), F.col("_n"), F.col("_b") * POSITION_BLOCK
+    whole = chunks.withColumn("_n", F.size("vecs")).where("_n > 0")
+    cuts = whole.withColumn("_b", F.explode(F.sequence(
+        F.floor(start / POSITION_BLOCK).cast("bigint"), F.floor((start + size - 1) / POSITION_BLOCK).cast("bigint"))))
+    first, end = F.greatest(start, block), F.least(start + size, block + POSITION_BLOCK)
+    piece = F.struct(first.alias("at"), F.slice("vecs", (first - start + 1).cast("int"), (end - first).cast("int")).alias("vecs"))
+    blocks = cuts.select(*keys, "_b", piece.alias("_piece")).groupBy(*keys, "_b").agg(F.collect_list("_piece").alias("_pieces"))
+
+    def covering(position: Column) -> Column:
+        there = lambda p: (p["at"] <= position) & (position < p["at"] + F.size(p["vecs"]))
+        found = F.transform(F.filter("_pieces", there), lambda p: F.get(p["vecs"], (position - p["at"]).cast("int")))
+        return F.filter(found, lambda v: F.size(v) > 0)
+
+    def mean(vectors: Column, i: Column) -> Column:
+        # a null component counts as a row but adds nothing, as in ``mean_vectors``
+        values = F.transform(F.filter(vectors, lambda v: F.size(v) > i), lambda v: F.get(v, i).cast("double"))
+        total = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+        return F.when(F.exists(values, lambda x: x.isNotNull()), total / F.size(values))
+
+    places = F.sequence(block, block + POSITION_BLOCK - 1)
+    rows = blocks.select(*keys, "_pieces", F.explode(places).alias("position"))
+    rows = rows.select(*keys, "position", covering(F.col("position")).alias("_v")).where(F.size("_v") > 0)
+    widest = F.array_max(F.transform("_v", lambda v: F.size(v)))
+    return rows.select(
+        *keys, "position", F.size("_v").cast("bigint").alias("n"),
+        F.transform(F.sequence(F.lit(0), widest - 1), lambda i: mean(F.col("_v"), i)).alias("vec"),
+    )
 
 
 def class_weights(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
