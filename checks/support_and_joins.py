@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.ranking_and_policy import BUDGETS, GRID, GRID_DOUBLES, GRID_SQL, METRIC_CTES, METRIC_DOUBLES, states
+from checks.ranking_and_policy import BUDGETS, GRID, GRID_DOUBLES, GRID_SQL, METRIC_CTES, METRIC_DOUBLES, first_states, states
 from checks.registry import check
 from residuum.functions import columns as C
-from residuum.operators import dedup, neighbours, permute, quality, ranking, registry, support
+from residuum.operators import dedup, neighbours, permute, policy, quality, ranking, registry, support
 from residuum.sources import scans
 
 RUN = ["model", "dataset", "test_run"]
@@ -266,7 +266,7 @@ def key_overlap_counts(t):
     ["residual_share", "error_count", "error_rate", "error_rate_delta_vs_all"],
 )
 def domain_support_strata(t):
-    rows = states(t).where("state = 'residual' and split = 'test' and confidence_threshold = 0.8 and uncertainty_reject_fraction = 0.1")
+    rows = first_states(t).where("state = 'residual' and split = 'test'")
     counted = support.attach_counts(rows.select(*RUN, "dr_id", "pr_id", "base_wrong"), *t.counts(), kinds=["drug", "target"])
     seen = {"drug_seen": F.col("source_drug_count") > 8, "target_seen": F.col("source_target_count") > 200}
     return support.domain_strata(counted.withColumns(seen).withColumn("support_reference", F.lit("source_train")), RUN)
@@ -286,7 +286,7 @@ def domain_support_strata(t):
               false AS evaluation_batch_appended_to_reference, true AS reference_frozen_before_test_scoring, false AS exact_pair_support_enabled_in_core FROM n""",
 )
 def audit_fit_reference(t):
-    rows = states(t).where("state = 'residual' and confidence_threshold = 0.8 and uncertainty_reject_fraction = 0.1")
+    rows = first_states(t).where("state = 'residual'")
     out = support.key_overlap(rows.where("split = 'validation'"), rows.where("split = 'test'"), RUN)
     out = out.withColumns({c: F.col(c).cast("bigint") for c in ("reference_n", "evaluation_n")})
     return support.reference_row(out)
@@ -308,9 +308,12 @@ PAIR_CTES = {
 
 
 def _pair_rows(t):
-    marks = states(t).where("confidence_threshold = 0.8 and uncertainty_reject_fraction = 0.1").select("row_id", "state")
-    score = F.abs(F.col("p_base") - F.coalesce("p_prior", F.lit(0.5)))
-    return t.base().join(marks, "row_id", "left").withColumn("score", score)
+    """All rows with the state of the policy (0.8, 0.1), null for rows that are no candidates: no join tells them apart."""
+    score = F.abs(F.col("p_base") - F.coalesce("p_prior", F.lit(0.5))).alias("score")
+    columns = [*RUN, "split", "row_id", "dr_id", "pr_id", "base_wrong", score]
+    candidate = policy.is_candidate(F.col("p_base"), F.col("base_pred"), F.col("base_confidence"), F.lit(0.8))
+    rest = t.base().where(~candidate).select(*columns, F.lit(None).cast("string").alias("state"))
+    return first_states(t).select(*columns, "state").unionByName(rest)
 
 
 @check(
