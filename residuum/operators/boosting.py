@@ -8,6 +8,10 @@ shuffle. Only the best split of each node reaches the driver. So the number of p
 on the depth of trees, not on the number of fits, and a fit with most of the rows
 is spread over as many tasks as it needs.
 
+A fit of up to LOCAL_ROWS rows needs no passes: its packed rows meet in one task, which grows
+all its trees. That is a bound for memory, not for results: both ways add the same
+fixed-point numbers and give the same trees.
+
 Trees grow best-first to a number of leaves. A pass measures the children of all
 leaves that may be split next; the tree is then read off exactly in best-first order.
 Gradients are rounded to fixed-point numbers before they are added, so sums, and with them
@@ -17,6 +21,7 @@ models, do not depend on partitions.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,6 +39,8 @@ from residuum.storage import cut
 EDGE_ROWS = 10_000
 #: Rows of one fit in one slice, iterations between two writes of the margins.
 SLICE_ROWS, REWRITE = 50_000, 10
+#: Rows of a fit that are trained on in one task, at most (about 100 bytes each there), and tasks of that step.
+LOCAL_ROWS, LOCAL_TASKS = 2_000_000, 2000
 #: Nodes whose cells one task holds at once.
 HELD_NODES = 128
 #: Fixed-point steps of a gradient of one.
@@ -273,14 +280,88 @@ def next_trees(rows: DataFrame, width: int, fit_sizes: Sequence[int], done: Sequ
             fit, node = pending[r["slot"]]
             trees[fit].measured(node, r)
         grown = [t.grow() for t in trees]
-    model = Model(fits, max(len(t.sums) for t in trees))
-    for i, (tree, (order, _)) in enumerate(zip(trees, grown)):
+    return _model([(tree, order) for tree, (order, _) in zip(trees, grown)], b)
+
+
+def _node_cells(columns: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, b: Boosting) -> np.ndarray:
+    """Cells (3, features, bins) of the given rows; ``columns`` holds one row a feature."""
+    cells = np.empty((3, len(columns), b.bins), np.int64)
+    own_g, own_h = g[rows], h[rows]
+    for f, column in enumerate(columns):
+        own = column[rows]
+        for k, w in enumerate((own_g, own_h, None)):
+            cells[k, f] = np.bincount(own, weights=w, minlength=b.bins)
+    return cells
+
+
+def grow_local(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, b: Boosting) -> list[Model]:
+    """All trees of one fit whose rows are here; a child's cells are its parent's less its smaller sibling's."""
+    columns, margin, models = np.ascontiguousarray(bins.T), np.zeros(len(y)), []
+    names = [c.split()[0] for c in SPLIT_DDL.split(", ")]
+    for _ in range(b.iterations):
+        g, h = gradients(margin, y, weight)
+        tree, rows_of, cells_of = Tree(b), {0: np.arange(len(y))}, {}
+        order, missing = tree.grow()
+        while missing:
+            for node in missing:
+                if node not in cells_of:
+                    cells_of[node] = _node_cells(columns, g, h, rows_of[node], b)
+                tree.measured(node, dict(zip(names, (node, *best_split(cells_of[node], b)))))
+                if node not in tree.children:
+                    continue
+                _, feature, bin_ = tree.split[node]
+                own = rows_of[node]
+                right = columns[feature][own] > bin_
+                pair = tree.children[node]
+                for child, rows in zip(pair, (own[~right], own[right])):
+                    rows_of[child] = rows
+                if any(child not in tree.split for child in pair):
+                    few, many = sorted(pair, key=lambda c: len(rows_of[c]))
+                    cells_of[few] = _node_cells(columns, g, h, rows_of[few], b)
+                    cells_of[many] = cells_of[node] - cells_of[few]
+                del cells_of[node]
+            order, missing = tree.grow()
+        model = _model([(tree, order)], b)
+        models.append(model)
+        for node in set(model.next[:, 0, order].ravel().tolist()) - set(order) or {0}:
+            margin[rows_of[node]] += model.value[0, node]
+    return models
+
+
+def _model(grown: Sequence[tuple[Tree, Sequence[int]]], b: Boosting) -> Model:
+    """The trees of all fits with the values of their nodes."""
+    model = Model(len(grown), max(len(t.sums) for t, _ in grown))
+    for i, (tree, order) in enumerate(grown):
         model.put(i, tree, order)
         for node, sums in tree.sums.items():
             model.value[i, node] = -b.rate * (sums[0] / STEPS) / (sums[1] / STEPS + b.l2)
     return model
 
 
+def near_models(rows: DataFrame, width: int, fits: int, b: Boosting) -> list[Model]:
+    """Models of all ``fits``, each trained in one task; the driver gets their trees."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        fit, _, y, weight, bins = _unpacked(batch, width)
+        models = grow_local(bins, y, weight, b)
+        blob = pickle.dumps([(m.feature[0], m.bin[0], m.next[:, 0], m.value[0]) for m in models])
+        return pa.table({"fit_no": pa.array([int(fit[0])], pa.int32()), "model": pa.array([blob], pa.binary())})
+
+    # as many tasks as fits: by their bytes they would be packed into a few
+    dealt = rows.repartition(min(fits, LOCAL_TASKS), "fit_no").groupBy("fit_no")
+    found = {r["fit_no"]: pickle.loads(bytes(r["model"])) for r in dealt.applyInArrow(run, "fit_no int, model binary").collect()}
+    models = []
+    for k in range(b.iterations):
+        model = Model(fits, max(len(trees[k][0]) for trees in found.values()))
+        for i, trees in found.items():
+            feature, bin_, next_, value = trees[k]
+            n = len(feature)
+            model.feature[i, :n], model.bin[i, :n], model.next[:, i, :n], model.value[i, :n] = feature, bin_, next_, value
+        models.append(model)
+    return models
+
+
 def _carried(rows: DataFrame, width: int, done: Sequence[Model], row_id: str) -> DataFrame:
     """``rows`` with the margins after ``done``."""
 
@@ -302,7 +383,7 @@ def usable(rows: DataFrame, keys: Sequence[str], features: Sequence[int], min_n:
 
 def boost(
     frames: DataFrame, keys: Sequence[str], features: Sequence[int], needs: Sequence[Sequence[int]] = (), min_feature_n: int = 20,
-    b: Boosting = Boosting(),
+    b: Boosting = Boosting(), limit: int = LOCAL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores of held rows and the fits, one boosted model per ``keys``.
 
@@ -323,7 +404,8 @@ def boost(
         met = met & F.arrays_overlap("used", F.array(*map(F.lit, block)))
     status = F.when((F.col("ones") == 0) | (F.col("ones") == F.col("n")), "single_class").when((F.size("used") == 0) | ~met, "unavailable").otherwise("complete")
     fits = cut(usable(train, keys, features, min_feature_n).withColumn("status", status), "boost-fits")
-    grid = fits.where("status = 'complete'").orderBy(*keys).collect()  # one row a fit: the size of the grid
+    # one row a fit: the size of the grid; large fits come first
+    grid = fits.where("status = 'complete'").orderBy(F.col("n") <= limit, *keys).collect()
     out = T.StructType([*size, *[frames.schema[c] for c in ("row_id", "base_wrong")], T.StructField("score", T.DoubleType())])
     if not grid:
         return spark.createDataFrame([], out), fits
@@ -374,11 +456,19 @@ def boost(
         F.when(F.col("base_wrong") > 0.5, F.col("w1")).otherwise(F.col("w0")).alias("weight"), "v", "row_id", slice_.alias("slice"))
     dealt = dealt.repartition("fit_no", "slice").sortWithinPartitions("fit_no").drop("slice")
     ready = cut(dealt.mapInArrow(pack, f"{ROW_DDL}, row_id {row_id}"), "boost-rows")
-    done: list[Model] = []
-    for _ in range(b.iterations):
-        done.append(next_trees(ready.where("not held"), width, [r["n"] for r in grid], done, b))
-        if len(done) == REWRITE:
-            ready, done = cut(_carried(ready, width, done, row_id), "boost-rows"), []
-    last = _carried(ready.where("held"), width, done, row_id)
+    large = sum(r["n"] > limit for r in grid)
+    last = []
+    if large < len(grid):
+        own = ready.where(F.col("fit_no") >= large).withColumn("fit_no", F.col("fit_no") - large)
+        models = near_models(own.where("not held"), width, len(grid) - large, b)
+        last.append(_carried(own.where("held"), width, models, row_id).withColumn("fit_no", F.col("fit_no") + large))
+    if large:
+        own, done = ready.where(F.col("fit_no") < large), []
+        for _ in range(b.iterations):
+            done.append(next_trees(own.where("not held"), width, [r["n"] for r in grid[:large]], done, b))
+            if len(done) == REWRITE:
+                own, done = cut(_carried(own, width, done, row_id), "boost-rows"), []
+        last.append(_carried(own.where("held"), width, done, row_id))
+    last = last[0] if len(last) == 1 else last[0].unionByName(last[1])
     scores = last.join(F.broadcast(number.select(*keys, "fit_no")), "fit_no")
     return scores.select(*keys, "row_id", "base_wrong", (1 / (1 + F.exp(-F.col("margin")))).alias("score")), fits

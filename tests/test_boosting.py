@@ -135,3 +135,21 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], "g string, role string, row_id long, base_wrong double, draw double, x array<double>")
     scores, fits = boosting.boost(none, ["g"], [0])
     assert scores.count() == 0 and fits.count() == 0
+
+
+def test_fits_of_one_task_equal_passes(spark, monkeypatch):
+    """Fits up to the limit need no pass over the rows; trees are the same, also where small and large fits mix."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g, n in (("a", 150), ("b", 400), ("c", 90)):
+        x = rng.normal(size=(n, 4))
+        x[rng.random((n, 4)) < 0.05] = np.nan
+        y = (np.nan_to_num(x[:, 0]) + rng.normal(size=n) > 0).astype(float)
+        rows += [(g, "held" if i % 4 == 0 else "fit", i, float(y[i]), float(rng.random()), [None if np.isnan(v) else float(v) for v in x[i]]) for i in range(n)]
+    frames = spark.createDataFrame(rows, "g string, role string, row_id long, base_wrong double, draw double, x array<double>")
+    b = Boosting(iterations=12, leaves=6, min_leaf=5)
+    score = lambda limit: {(r.g, r.row_id): r.score for r in boosting.boost(frames, ["g"], [0, 1, 2, 3], (), 20, b, limit)[0].collect()}
+    passes = score(0)
+    assert len(passes) == sum(r[1] == "held" for r in rows) and score(150) == passes
+    monkeypatch.setattr(boosting, "next_trees", None)
+    assert score(boosting.LOCAL_ROWS) == passes
