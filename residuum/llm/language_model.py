@@ -21,11 +21,13 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -46,17 +48,44 @@ ROUNDS = 1
 #: Streams side by side at most, steps of a window, and updates a shard should make at least (fewer streams give more).
 LANES, WINDOW, UPDATES = 512, 16, 150
 RATE = 0.01
-#: Tokens a shard trains on in one go, tokens scored side by side in one go, rows and steps between two softmax passes, counted words held.
+#: Tokens a shard trains on in one go, tokens held to be scored, rows of a softmax pass, counted words held.
 TRAIN_TOKENS = 1_500_000
 GO_TOKENS = 3_000_000
-HELD_ROWS = 200_000
+HELD_ROWS = 8192
 TASK_WORDS = 300_000
-STEPS = 32
+SPLIT_BYTES = 4 << 20  # of texts split into words in one go
+OFTEN = 12  # values of a row that are added one by one at most
 END = b""  # the end of a text; no word is empty
 
 
+@cache
+def _form_of_ending(ending: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(ending) % FORMS
+
+
 def form(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word[-2:]) % FORMS
+    return _form_of_ending(word[-2:])
+
+
+def split_words(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words of the texts of a column as one array, and how many each text has, some megabytes of texts at a time.
+
+    Arrow's white space is \\x20 and \\x09-\\x0D, like that of ``words``; it leaves an empty word at an end with space.
+    """
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SPLIT_BYTES, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(start, stop - start)))
+        found, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        empty = pc.binary_length(found).to_numpy(zero_copy_only=False) == 0
+        if empty.any():
+            sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+            found = found.filter(pa.array(~empty))
+        yield found.cast(pa.large_binary() if pa.types.is_large_string(found.type) else pa.binary()), sizes
+        start = stop
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -91,21 +120,33 @@ class Vocabulary:
     form_mass: np.ndarray
     total: int
     distinct: int
+    head: pa.Array | None = field(default=None, repr=False, compare=False)  # the words of ``index``, where texts are read
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"head": None}
 
     @property
     def classes(self) -> int:
         return -(-max(self.softmax, 1) // CLASS_SIZE)
 
-    def tokens(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-        """Ids of a text's tokens, its end included: a place in ``index``, or -1 - form outside it; and the words outside."""
-        own = words(text)
-        own.append(END)
-        get = self.index.get
-        ids = np.array([get(w, -1) for w in own], np.int64)
-        rare = [own[i] for i in np.flatnonzero(ids < 0)]
-        if rare:
-            ids[ids < 0] = [-1 - form(w) for w in rare]
-        return ids, rare
+    def tokens(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """Of each text, ids of its tokens, its end included: a place in ``index``, or -1 - form outside it; and the words outside."""
+        end = self.index.get(END, -1 - form(END))
+        for found, sizes in split_words(column):
+            if self.head is None or self.head.type != found.type:
+                self.head = pa.array(list(self.index), found.type)
+            places = pc.index_in(found, value_set=self.head)
+            outside = pc.is_null(places)
+            ids = pc.fill_null(places, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            rare = found.filter(outside).to_pylist()
+            at = np.flatnonzero(ids < 0)
+            ids[at] = [-1 - form(w) for w in rare]
+            ends = np.cumsum(sizes)
+            cuts = np.searchsorted(at, ends).tolist()
+            begin = before = 0
+            for stop, cut_ in zip(ends.tolist(), cuts):
+                yield np.append(ids[begin:stop], end), rare[before:cut_]
+                begin, before = stop, cut_
 
 
 class Net:
@@ -131,34 +172,74 @@ class Net:
         }
         return cls({k: np.ascontiguousarray(a, np.float32) for k, a in p.items()})
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """The input table with its bias as (row, gate, hidden) and the recurrent weights as (gate, hidden, hidden)."""
+        k = HIDDEN
+        return (self.p["x"] + self.p["b"]).reshape(-1, 3, k), np.ascontiguousarray(self.p["u"].reshape(k, 3, k).transpose(1, 0, 2))
+
     def step(self, rows: np.ndarray, h: np.ndarray):
         """One GRU step; ``rows`` are the input rows of the tokens before."""
-        k = HIDDEN
-        x = self.p["x"][rows] + self.p["b"]
-        g = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * k] + g[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), z, r, n, g[:, 2 * k :]
+        x, u = self.gates()
+        (z, r), n, gn, out = _advance(np.ascontiguousarray(x[rows].transpose(1, 0, 2)), u, h)
+        return out, z, r, n, gn
 
     def log_likelihood(self, h: np.ndarray, target: np.ndarray, classes: int) -> np.ndarray:
         """Natural log of the class and, for softmax words, of the word in it. Targets: place, or classes * CLASS_SIZE + form."""
         limit = classes * CLASS_SIZE
         c = np.where(target < limit, target // CLASS_SIZE, classes + target - limit)
-        logits = h @ self.p["c"] + self.p["cb"]
-        top = logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(c)), c] - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1))
-        order = np.argsort(c, kind="stable")
+        # a column a token: maxima and sums then run along the tokens
+        logits = self.p["c"].T @ h.T
+        logits += self.p["cb"][:, None]
+        out = logits[c, np.arange(len(c))]
+        out -= _log_sum(logits)
+        order = np.argsort(c.astype(np.int16), kind="stable")
         ends = np.searchsorted(c[order], np.arange(classes + 1))
+        own, place, found = h[order], (target - c * CLASS_SIZE)[order], np.zeros(len(c), np.float32)
         for k in range(classes):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                inner = h[rows] @ self.p["w"][k] + self.p["wb"][k]
-                peak = inner.max(axis=1)
-                out[rows] += inner[np.arange(len(rows)), target[rows] - k * CLASS_SIZE] - peak - np.log(np.exp(inner - peak[:, None]).sum(axis=1))
+            at = slice(ends[k], ends[k + 1])
+            if ends[k] < ends[k + 1]:
+                inner = self.p["w"][k].T @ own[at].T
+                inner += self.p["wb"][k][:, None]
+                found[at] = inner[place[at], np.arange(inner.shape[1])]
+                found[at] -= _log_sum(inner)
+        out[order] += found
         return out
 
 
+def _advance(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gates (2, rows, hidden), candidate, its recurrent part and the new state. ``x`` is (3, rows, hidden)."""
+    g = np.matmul(h, u)
+    zr = g[:2] + x[:2]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += np.float32(1)
+    np.reciprocal(zr, out=zr)
+    n = zr[1] * g[2]
+    n += x[2]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= zr[0]
+    out += n
+    return zr, n, g[2], out
+
+
+def _log_sum(columns: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each column; ``columns`` are overwritten."""
+    top = columns.max(axis=0)
+    columns -= top
+    np.exp(columns, out=columns)
+    return np.log(columns.sum(axis=0)) + top
+
+
+def _less_target(columns: np.ndarray, place: np.ndarray, size: np.float32) -> np.ndarray:
+    """Gradient of the mean log loss at the logits of each column, in their place: softmax less one at the target."""
+    columns -= columns.max(axis=0)
+    np.exp(columns, out=columns)
+    columns *= 1 / (columns.sum(axis=0) * size)
+    columns[place, np.arange(columns.shape[1])] -= 1 / size
+    return columns
+
+
 def _rows(v: Vocabulary, ids: np.ndarray, forms: np.ndarray) -> np.ndarray:
     """Row of each token in the tables of the net: place in the softmax, else the row of its form."""
     limit = v.classes * CLASS_SIZE
@@ -168,10 +249,22 @@ def _rows(v: Vocabulary, ids: np.ndarray, forms: np.ndarray) -> np.ndarray:
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
+    order = np.argsort(rows.astype(np.int16) if rows.max(initial=0) < 1 << 15 else rows, kind="stable")
+    own, values = rows[order], np.take(values, order, axis=0)
     starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[starts], np.add.reduceat(values[order], starts, axis=0)
+    many = np.diff(np.append(starts, len(own)))
+    out = np.take(values, starts, axis=0)
+    # a row met often is one sum; the others take their second, third, ... values together
+    often = np.flatnonzero(many > OFTEN)
+    for i, start, n in zip(often.tolist(), starts[often].tolist(), many[often].tolist()):
+        np.sum(values[start : start + n], axis=0, out=out[i])
+    left = np.flatnonzero((many > 1) & (many <= OFTEN))
+    for k in range(1, OFTEN):
+        left = left[many[left] > k]
+        if not len(left):
+            break
+        out[left] += np.take(values, starts[left] + k, axis=0)
+    return own[starts], out
 
 
 class Steps:
@@ -190,12 +283,21 @@ class Steps:
         for key, (rows, g) in grads.items():
             at = slice(None) if rows is None else rows
             g = g * scale
-            m = self.first[key][at]
-            m = m + np.float32(0.1) * (g - m)
-            q = self.second[key][at]
-            q = q + np.float32(0.01) * (g * g - q)
-            self.first[key][at], self.second[key][at] = m, q
-            self.p[key][at] -= step * m / (np.sqrt(q) + np.float32(1e-7))
+            m, q = self.first[key][at], self.second[key][at]
+            part = g - m
+            part *= np.float32(0.1)
+            m += part
+            np.multiply(g, g, out=part)
+            part -= q
+            part *= np.float32(0.01)
+            q += part
+            if rows is not None:
+                self.first[key][at], self.second[key][at] = m, q
+            np.sqrt(q, out=part)
+            part += np.float32(1e-7)
+            np.divide(m, part, out=part)
+            part *= step
+            self.p[key][at] -= part
 
 
 def train_shard(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarray], rate: float) -> Net:
@@ -209,97 +311,103 @@ def train_shard(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarra
     data = stream[: lanes * length].reshape(lanes, length)
     p = {k: a.copy() for k, a in net.p.items()}
     net, update = Net(p), Steps(p, rate)
-    h, before, k = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, end_row), HIDDEN
+    h, k = np.zeros((lanes, HIDDEN), np.float32), HIDDEN
+    came = np.concatenate([np.full((lanes, 1), end_row), data[:, :-1]], axis=1)  # the token before each
     for start in range(0, length, WINDOW):
-        part = data[:, start : start + WINDOW]
-        kept, hs = [], []
-        for j in range(part.shape[1]):
-            clear = (before != end_row)[:, None].astype(np.float32)
-            h0 = h * clear
-            h, z, r, n, gn = net.step(before, h0)
-            kept.append((before, h0, z, r, n, gn, clear))
-            hs.append(h)
-            before = part[:, j]
-        hidden, target = np.concatenate(hs), part.T.reshape(-1)
+        target, rows = (np.ascontiguousarray(d[:, start : start + WINDOW].T) for d in (data, came))
+        many = len(target)
+        table, u = net.gates()
+        x = np.ascontiguousarray(table[rows].transpose(0, 2, 1, 3))
+        clear = (rows != end_row)[:, :, None].astype(np.float32)
+        hidden, h0s, kept = np.empty((many, lanes, k), np.float32), np.empty((many, lanes, k), np.float32), []
+        for j in range(many):
+            np.multiply(h, clear[j], out=h0s[j])
+            zr, n, gn, h = _advance(x[j], u, h0s[j])
+            kept.append((zr, n, gn))
+            hidden[j] = h
+        hidden, target = hidden.reshape(-1, k), target.reshape(-1)
         size = np.float32(len(target))
         c = np.where(target < limit, target // CLASS_SIZE, v.classes + target - limit)
-        logits = hidden @ p["c"] + p["cb"]
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(c)), c] -= 1
-        d /= size
-        grads: dict = {"c": (None, hidden.T @ d), "cb": (None, d.sum(axis=0))}
-        dh = d @ p["c"].T
-        order = np.argsort(c, kind="stable")
+        logits = p["c"].T @ hidden.T
+        logits += p["cb"][:, None]
+        d = _less_target(logits, c, size)
+        grads: dict = {"c": (None, (d @ hidden).T), "cb": (None, d.sum(axis=1))}
+        dh = d.T @ p["c"].T
+        order = np.argsort(c.astype(np.int16), kind="stable")
         ends = np.searchsorted(c[order], np.arange(v.classes + 1))
         touched = np.flatnonzero(np.diff(ends))
         gw, gwb = np.zeros((len(touched), k, CLASS_SIZE), np.float32), np.zeros((len(touched), CLASS_SIZE), np.float32)
+        order = order[: ends[-1]]
+        sorted_, place, back = hidden[order], (target - c * CLASS_SIZE)[order], np.empty((len(order), k), np.float32)
         for i, q in enumerate(touched):
-            rows = order[ends[q] : ends[q + 1]]
-            own = hidden[rows]
-            d = own @ p["w"][q] + p["wb"][q]
-            d -= d.max(axis=1, keepdims=True)
-            np.exp(d, out=d)
-            d /= d.sum(axis=1, keepdims=True)
-            d[np.arange(len(rows)), target[rows] - q * CLASS_SIZE] -= 1
-            d /= size
-            gw[i], gwb[i] = own.T @ d, d.sum(axis=0)
-            dh[rows] += d @ p["w"][q].T
+            at = slice(ends[q], ends[q + 1])
+            own = sorted_[at]
+            inner = p["w"][q].T @ own.T
+            inner += p["wb"][q][:, None]
+            d = _less_target(inner, place[at], size)
+            gw[i], gwb[i] = (d @ own).T, d.sum(axis=1)
+            back[at] = d.T @ p["w"][q].T
+        dh[order] += back
         if len(touched):
             grads["w"], grads["wb"] = (touched, gw), (touched, gwb)
-        carry = np.zeros((lanes, k), np.float32)
-        gb, gu = np.zeros(3 * k, np.float32), np.zeros((k, 3 * k), np.float32)
-        dxs = np.empty((part.shape[1], lanes, 3 * k), np.float32)
-        for j in range(part.shape[1] - 1, -1, -1):
-            _, h0, z, r, n, gn, clear = kept[j]
-            dy = dh[j * lanes : (j + 1) * lanes] + carry
-            dn = dy * (1 - z) * (1 - n * n)
-            dx = dxs[j]
-            dx[:, :k] = dy * (h0 - n) * z * (1 - z)
-            dx[:, k : 2 * k] = dn * gn * r * (1 - r)
-            dx[:, 2 * k :] = dn
-            dg = dx.copy()
-            dg[:, 2 * k :] *= r
-            gb += dx.sum(axis=0)
-            gu += h0.T @ dg
-            carry = (dy * z + dg @ p["u"].T) * clear
-        grads["b"], grads["u"] = (None, gb), (None, gu)
-        grads["x"] = _by_row(np.concatenate([item[0] for item in kept]), dxs.reshape(-1, 3 * k))
+        dh = dh.reshape(many, lanes, k)
+        carry, ut = np.zeros((lanes, k), np.float32), np.ascontiguousarray(u.transpose(0, 2, 1))
+        dxs, dgs = np.empty((many, 3, lanes, k), np.float32), np.empty((3, many, lanes, k), np.float32)
+        for j in range(many - 1, -1, -1):
+            (z, r), n, gn = kept[j]
+            dx, dg, h0 = dxs[j], dgs[:, j], h0s[j]
+            dy = dh[j]
+            dy += carry
+            by_z = dy * z
+            np.subtract(dy, by_z, out=dx[2])
+            dx[2] *= 1 - n * n
+            np.multiply(h0 - n, by_z, out=dx[0])
+            dx[0] *= 1 - z
+            np.multiply(dx[2], r, out=dg[2])
+            np.multiply(dg[2], gn, out=dx[1])
+            dx[1] *= 1 - r
+            dg[:2] = dx[:2]
+            carry = np.matmul(dg, ut).sum(axis=0)
+            carry += by_z
+            carry *= clear[j]
+        dxs = np.ascontiguousarray(dxs.transpose(0, 2, 1, 3)).reshape(-1, 3 * k)
+        gu = np.matmul(h0s.reshape(-1, k).T, dgs.reshape(3, -1, k))
+        grads["x"] = _by_row(rows.reshape(-1), dxs)
+        grads["b"], grads["u"] = (None, grads["x"][1].sum(axis=0)), (None, gu.transpose(1, 0, 2).reshape(k, 3 * k))
         update(grads)
     return net
 
 
 def score_tokens(net: Net, v: Vocabulary, forms: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each text (softmax and class parts), all texts side by side, state carried over windows."""
+    """Natural log-likelihood of each text (softmax and class parts), ``LANES`` texts of like length side by side, state carried over windows."""
     total = np.zeros(len(docs))
     lengths = np.array([len(d) for d in docs])
     order = np.argsort(-lengths, kind="stable")
-    sorted_lengths = lengths[order]
-    flat = np.concatenate([_rows(v, docs[i], forms) for i in order])
-    begin = np.cumsum(sorted_lengths) - sorted_lengths
     end_row = int(_rows(v, np.array([v.index.get(END, -1 - form(END))]), forms)[0])
-    h, before = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), end_row)
-    t, longest = 0, int(sorted_lengths[0])
-    while t < longest:
-        hidden, target, owner = [], [], []
-        held = 0
-        for _ in range(STEPS):
-            active = int(np.searchsorted(-sorted_lengths, -t, "left"))  # lengths above t
-            if not active:
-                break
-            h, before = h[:active], before[:active]
-            h = net.step(before, h)[0]
-            before = flat[begin[:active] + t]
-            hidden.append(h), target.append(before), owner.append(np.arange(active))
-            held += active
-            t += 1
-            if held > HELD_ROWS:
-                break
-        value = net.log_likelihood(np.concatenate(hidden), np.concatenate(target), v.classes)
-        total += np.bincount(np.concatenate(owner), weights=value, minlength=len(docs))
-    out = np.zeros(len(docs))
-    out[order] = total
-    return out
+    table, u = net.gates()
+    for first in range(0, len(docs), LANES):
+        own = order[first : first + LANES]
+        sorted_lengths = lengths[own]
+        flat = np.concatenate([_rows(v, docs[i], forms) for i in own])
+        begin = np.cumsum(sorted_lengths) - sorted_lengths
+        h, before = np.zeros((len(own), HIDDEN), np.float32), np.full(len(own), end_row)
+        t, longest = 0, int(sorted_lengths[0])
+        # texts longer than t, for each t
+        running = np.searchsorted(-sorted_lengths, -np.arange(longest), "left").tolist()
+        while t < longest:
+            hidden, target, active = [], [], []
+            held = 0
+            while t < longest and held < HELD_ROWS:
+                n = running[t]
+                h = _advance(np.ascontiguousarray(table[before[:n]].transpose(1, 0, 2)), u, h[:n])[3]
+                before = flat[begin[:n] + t]
+                hidden.append(h), target.append(before), active.append(n)
+                held += n
+                t += 1
+            value = net.log_likelihood(np.concatenate(hidden), np.concatenate(target), v.classes)
+            place = np.arange(held) - np.repeat(np.cumsum(active) - active, active)
+            total[own] += np.bincount(place, weights=value, minlength=len(own))
+    return total
 
 
 def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, np.ndarray, Net]:
@@ -349,13 +457,13 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", id_col: str
                 return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([float(seen)]), pa.array([pickle.dumps(net.p)], pa.binary())], ["part", "weight", "net"])
 
             for b in batches:
-                for shard, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                for shard, (ids, _) in zip(b.column(0).to_pylist(), v.tokens(b.column(1))):
                     if shard != own:
                         if own is not None:
                             yield out()
                         own, net, docs_, held, seen = shard, start, [], 0, 0
-                    docs_.append(v.tokens(t)[0])
-                    held += len(docs_[-1])
+                    docs_.append(ids)
+                    held += len(ids)
                     if held > TRAIN_TOKENS:
                         learned()
             if own is not None:
@@ -410,24 +518,27 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             nats = score_tokens(net, v, forms, [w[2] for w in waiting])
             keys = place + np.arange(len(waiting))
             place += len(waiting)
-            known, base, full, rare = [], [], [], []
+            known, base, full, rare, many, ends = [], [], [], [], [], [0]
             for (_, _, ids, outside), value in zip(waiting, nats):
                 seen = ids[ids >= 0]
                 unseen = -1 - ids[ids < 0]
                 known.append(len(seen))
                 base.append(float(log_count[seen].sum() - base_norm * len(ids)))
                 full.append(float(value / np.log(10) + inside[seen].sum() - log_mass[unseen].sum()))
-                rare.append([{"word": w, "n": n} for w, n in Counter(outside).items()])
+                found = Counter(outside)
+                rare.extend(found)
+                many.extend(found.values())
+                ends.append(len(rare))
+            listed = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(many, pa.int64())], ["word", "n"])
             return pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array([w[0] for w in waiting], pa.int64()), pa.array([w[1] for w in waiting], pa.bool_()),
                  pa.array([len(w[2]) for w in waiting], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)],
                 ["key", "id", "training", "n_tokens", "head_known", "head_base", "head_score", "rare"],
             )
 
         for batch in batches:
-            for i, learned_, text in zip(batch.column(0), batch.column(2), texts(batch.column(1))):
-                ids, outside = v.tokens(text)
+            for i, learned_, (ids, outside) in zip(batch.column(0), batch.column(2), v.tokens(batch.column(1))):
                 waiting.append((i.as_py(), learned_.as_py(), ids, outside))
                 held += len(ids)
                 if held > GO_TOKENS:
