@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from residuum.functions.columns import canonical_id, main_component, pair_vector, sequence_composition, unit
 
 POSITION_BLOCK = 256  # positions of one key that meet in one group
+POSITION_ROWS = 1024  # groups whose positions are summed at once, fewer where vectors are wide
+POSITION_CELLS = 1 << 22  # components of positions summed at once
 
 
 def entity_registry(rows: DataFrame, id_column: str, text_column: str, phase: str = "phase") -> DataFrame:
@@ -156,35 +162,68 @@ def merge_positions(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per-position vectors of overlapping chunks averaged by how often they are covered.
 
     Chunks are cut at multiples of ``POSITION_BLOCK`` and the pieces of a block meet as
-    arrays: a position becomes a row only after the shuffle.
+    arrays: a position becomes a row only after the shuffle, from sums over whole arrays.
     """
     start, size, block = F.col("start"), F.col("_n"), F.col("_b") * POSITION_BLOCK
     whole = chunks.withColumn("_n", F.size("vecs")).where("_n > 0")
     cuts = whole.withColumn("_b", F.explode(F.sequence(
         F.floor(start / POSITION_BLOCK).cast("bigint"), F.floor((start + size - 1) / POSITION_BLOCK).cast("bigint"))))
     first, end = F.greatest(start, block), F.least(start + size, block + POSITION_BLOCK)
-    piece = F.struct(first.alias("at"), F.slice("vecs", (first - start + 1).cast("int"), (end - first).cast("int")).alias("vecs"))
+    vectors = F.col("vecs").cast("array<array<double>>")
+    piece = F.struct(first.cast("bigint").alias("at"), F.slice(vectors, (first - start + 1).cast("int"), (end - first).cast("int")).alias("vecs"))
     blocks = cuts.select(*keys, "_b", piece.alias("_piece")).groupBy(*keys, "_b").agg(F.collect_list("_piece").alias("_pieces"))
-
-    def covering(position: Column) -> Column:
-        there = lambda p: (p["at"] <= position) & (position < p["at"] + F.size(p["vecs"]))
-        found = F.transform(F.filter("_pieces", there), lambda p: F.get(p["vecs"], (position - p["at"]).cast("int")))
-        return F.filter(found, lambda v: F.size(v) > 0)
-
-    def mean(vectors: Column, i: Column) -> Column:
-        # a null component counts as a row but adds nothing, as in ``mean_vectors``
-        values = F.transform(F.filter(vectors, lambda v: F.size(v) > i), lambda v: F.get(v, i).cast("double"))
-        total = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-        return F.when(F.exists(values, lambda x: x.isNotNull()), total / F.size(values))
-
-    places = F.sequence(block, block + POSITION_BLOCK - 1)
-    rows = blocks.select(*keys, "_pieces", F.explode(places).alias("position"))
-    rows = rows.select(*keys, "position", covering(F.col("position")).alias("_v")).where(F.size("_v") > 0)
-    widest = F.array_max(F.transform("_v", lambda v: F.size(v)))
-    return rows.select(
-        *keys, "position", F.size("_v").cast("bigint").alias("n"),
-        F.transform(F.sequence(F.lit(0), widest - 1), lambda i: mean(F.col("_v"), i)).alias("vec"),
-    )
+    added = T.StructType.fromDDL("position bigint, n bigint, vec array<double>")
+    out_type = T.StructType([*[blocks.schema[k] for k in keys], *added.fields])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, POSITION_ROWS)
+                while part.num_rows > 1 and part.num_rows * POSITION_BLOCK * _widest(part["_pieces"]) > POSITION_CELLS:
+                    part = part.slice(0, part.num_rows // 2)
+                at += part.num_rows
+                places, position, n, vec = _merged_pieces(part["_pieces"], part["_b"].to_numpy())
+                columns = [part[k].take(pa.array(places)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(position), pa.array(n), vec], names=out_type.names)
+
+    return blocks.mapInArrow(merged, out_type)
+
+
+def _widest(pieces: pa.ListArray) -> int:
+    vectors = pieces.flatten().field("vecs").flatten()
+    return int(pc.max(pc.list_value_length(vectors)).as_py() or 0)
+
+
+def _merged_pieces(pieces: pa.ListArray, block: np.ndarray):
+    """Block row, position, number of vectors and mean vector of each covered position of some blocks."""
+    flat = pieces.flatten()
+    row = np.repeat(np.arange(len(pieces)), pc.list_value_length(pieces).to_numpy())
+    first, lists = flat.field("at").to_numpy(), flat.field("vecs")
+    lengths = pc.list_value_length(lists).to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    place = (row * POSITION_BLOCK + first - block[row] * POSITION_BLOCK - starts).repeat(lengths) + np.arange(lengths.sum())
+    vectors = lists.flatten()
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    values = vectors.flatten()
+    known, values = values.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(values, 0.0).to_numpy()
+    count = len(pieces) * POSITION_BLOCK
+    n = np.bincount(place[sizes > 0], minlength=count)
+    widths = np.zeros(count, np.int64)
+    np.maximum.at(widths, place, sizes)
+    wide = int(widths.max(initial=0))
+    # a null component counts as a row but adds nothing, as in ``mean_vectors``
+    component = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    cell = np.repeat(place, sizes) * wide + component
+    rows, seen = np.bincount(cell, minlength=count * wide), np.bincount(cell[known], minlength=count * wide)
+    mean = np.bincount(cell, weights=values, minlength=count * wide) / np.maximum(rows, 1)
+    covered = np.flatnonzero(n)
+    inside = (np.arange(wide) < widths[covered, None]).ravel()
+    pick = lambda x: x.reshape(count, wide)[covered].ravel()[inside]
+    ends = pa.array(np.r_[0, np.cumsum(widths[covered])], pa.int32())
+    vec = pa.ListArray.from_arrays(ends, pa.array(pick(mean), mask=pick(seen) == 0))
+    places = covered // POSITION_BLOCK
+    return places, block[places] * POSITION_BLOCK + covered % POSITION_BLOCK, n[covered], vec
 
 
 def class_weights(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

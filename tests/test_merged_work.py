@@ -52,3 +52,25 @@ def test_stores_of_a_column_meet_before_the_rows(spark):
     out = neighbours.covered_rows(rows, [("dr_id", ids(0, 1)), ("pr_id", ids(1, 2, 3)), ("pr_id", ids(2, 2, 3))])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
     assert sorted(map(tuple, out.collect())) == [(0, 2), (0, 3), (1, 2), (1, 3)]
+
+
+def test_positions_are_summed_as_arrays(spark):
+    """No position is worked out by itself; null components count but add nothing, empty and missing vectors do not, widths may differ."""
+    chunks = [("a", 250, [[1.0, None], [2.0], [], None, [None, 4.0, 6.0]] * 3), ("a", 252, [[5.0, 7.0]] * 9), ("b", 3, [[None]])]
+    df = spark.createDataFrame(chunks, "doc string, start int, vecs array<array<float>>")
+    found = registry.merge_positions(df, ["doc"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+    want = {}
+    for d, s, vecs in chunks:
+        for i, v in enumerate(vecs):
+            if v:
+                want.setdefault((d, s + i), []).append(v)
+    got = {(r.doc, r.position): r for r in found.collect()}
+    assert set(got) == set(want)
+    for key, vecs in want.items():
+        assert got[key].n == len(vecs) and len(got[key].vec) == max(map(len, vecs))
+        for i, x in enumerate(got[key].vec):
+            values = [v[i] for v in vecs if len(v) > i]
+            known = [v for v in values if v is not None]
+            assert x == (pytest.approx(sum(known) / len(values)) if known else None)
